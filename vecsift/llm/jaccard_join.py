@@ -2,9 +2,11 @@
 
 1. Each text becomes a row of the incidence matrix: its distinct word shingles as 64-bit hashes. Equal rows form one class; the rest
    works on classes, so copies never meet each other.
-2. Size-derived bound on columns: in one global order of the shingles, two classes can only link when they share a shingle among the
-   first n - ceil(t*n) + 1 of each. Only those columns are multiplied to find partners. The order puts frequent shingles last; their
-   frequency is estimated on one document in 32 and at most `HEAVY` are told apart, which steers speed only: any order is exact.
+2. Size-derived bounds on columns: in one global order of the shingles, two classes can only link when they share at least l shingles
+   among the first n - ceil(t*n) + l of each (the l-th shingle they share has at least t*n - l shared ones after it). With l = 1 + n/10,
+   only those columns are multiplied to find partners, and a class that shares fewer of them than its smallest partner's l is out. The order puts frequent shingles last: those
+   that repeat within runs of documents are counted, and the `HEAVY` most frequent are told apart. That steers speed only: any order is
+   exact.
 3. Column blocks (ranges of shingle hashes, packed) are multiplied in bulk. A column's classes are named after the smallest of them; that
    name is a row block, and all classes which share any such column with it belong to the block. Each pair that shares a column thus meets.
 4. Row blocks are cut into tiles of at most about TILE classes, and every pair of tiles is one product X.Y' that accumulates whole
@@ -26,14 +28,16 @@ from .common import BROADCAST_IDS, HOT_SHARE, chunks, documents, mix, shingle_se
 from .components import components
 
 WIDTH, PERCENT = 5, 75
-HEAVY = 100_000
-ORDER_SHARE = 32
+HEAVY = 200_000
+RUN = 1_000_000
 TILE = 1500
+BROADCAST_PLACES = 200_000
 COLUMN_BLOCK = 500_000
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n - -(-n * percent // 100) + 1 if n else 0
+    """Columns of a set of n that are multiplied: all that can hold its first 1 + n/10 shingles in common with a linked set."""
+    return min(n, n - -(-n * percent // 100) + 1 + n // 10)
 
 
 def _fingerprint(s: np.ndarray) -> int:
@@ -61,21 +65,24 @@ def _grouped(items, most, make):
 
 
 def _describe(width: int):
+    """Rows of both kinds: (id, size of its set, fingerprint), and (shingle, how often it repeats within a run of about RUN shingles)."""
     import pyarrow as pa
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        rows = ((1, (i, len(s), _fingerprint(s))) for i, s in _sets(batches, width))
-        yield from _grouped(rows, 20_000, lambda r: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*r, strict=True)], ["id", "n", "fp"]))
-
-    return run
-
-
-def _sampled(width: int):
-    import pyarrow as pa
+    def make(rows):
+        ids, sets = zip(*rows, strict=True)
+        cells = np.concatenate(sets)
+        cells.sort()
+        edge = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[edge, len(cells)])
+        often, times = cells[edge[times > 1]].view(np.int64), times[times > 1]
+        n, m = len(ids), len(often)
+        blank, away = pa.nulls(n, pa.int64()), pa.nulls(m, pa.int64())
+        two = lambda a, b: pa.concat_arrays([a, b])
+        columns = [two(pa.array(ids, pa.int64()), away), two(pa.array([len(x) for x in sets], pa.int64()), away), two(pa.array([_fingerprint(x) for x in sets], pa.int64()), away)]
+        return pa.RecordBatch.from_arrays([*columns, two(blank, pa.array(often, pa.int64())), two(blank, pa.array(times, pa.int64()))], ["id", "n", "fp", "s", "times"])
 
     def run(batches):
-        parts = ((len(s), s) for _, s in _sets(batches, width))
-        yield from _grouped(parts, 200_000, lambda r: pa.RecordBatch.from_arrays([pa.array(np.concatenate(r).view(np.int64))], ["s"]))
+        yield from _grouped(((len(x) + 1, (i, x)) for i, x in _sets(batches, width)), RUN, make)
 
     return run
 
@@ -119,29 +126,32 @@ def _prefixes(width: int, percent: int, heavy, hot, blocks: int):
 
 
 def _multiply_columns(table):
-    """One column block: for each column with two classes or more, (class, its smallest class)."""
+    """One column block: over the columns with two classes or more, (class, the column's smallest class, number of such columns)."""
     import pyarrow as pa
 
     s = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("s")])
     fp = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("fp")])
     o = np.lexsort((fp, s))
     s, fp = s[o], fp[o]
+    once = np.r_[True, (s[1:] != s[:-1]) | (fp[1:] != fp[:-1])]
+    s, fp = s[once], fp[once]
     new = np.r_[True, s[1:] != s[:-1]]
     lead = fp[np.flatnonzero(new)][np.cumsum(new) - 1]
     shared = np.zeros(len(s), bool)
     other = fp != lead
     group = np.cumsum(new) - 1
     shared = np.bincount(group, other)[group] > 0
-    pairs = np.unique(np.stack([fp[shared], lead[shared]], 1), axis=0) if shared.any() else np.zeros((0, 2), np.int64)
-    return pa.table({"fp": pa.array(pairs[:, 0]), "r": pa.array(pairs[:, 1])})
+    pairs, times = np.unique(np.stack([fp[shared], lead[shared]], 1), axis=0, return_counts=True) if shared.any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+    return pa.table({"fp": pa.array(pairs[:, 0]), "r": pa.array(pairs[:, 1]), "times": pa.array(times)})
 
 
 def _emit_sets(width: int):
     import pyarrow as pa
 
     def run(batches):
-        rows = ((len(s), (i, s.tobytes())) for i, s in _sets(batches, width))
-        yield from _grouped(rows, 1_000_000, lambda r: pa.RecordBatch.from_arrays([pa.array([x[0] for x in r], pa.int64()), pa.array([x[1] for x in r], pa.binary())], ["id", "cells"]))
+        rows = ((len(s), (i, _fingerprint(s), s.tobytes())) for i, s in _sets(batches, width))
+        make = lambda r: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*r, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["id", "fp", "cells"])
+        yield from _grouped(rows, 1_000_000, make)
 
     return run
 
@@ -224,7 +234,8 @@ def _multiply_tile(percent: int):
                     if (r, i, j) != key:
                         yield from flush()
                         held, key = [], (r, i, j)
-                    held.append(rest)
+                    if not held or held[-1][0] != rest[0]:  # a repeated row adds nothing
+                        held.append(rest)
             yield from flush()
 
         yield from _grouped(((1, x) for x in rows()), 20_000, lambda r: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*r, strict=True)], ["fp", "to", "links"]))
@@ -241,33 +252,36 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).where("id IS NOT NULL")
-    described = stage(spark, rows.mapInArrow(_describe(width), "id long, n long, fp long"), "described")
+    described = stage(spark, rows.mapInArrow(_describe(width), "id long, n long, fp long, s long, times long"), "described")
+    frequent = described.where("s IS NOT NULL").groupBy("s").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "s").limit(HEAVY)
+    frequent = frequent.toPandas()  # at most HEAVY rows
+    order, weight = frequent["s"].to_numpy(np.int64).view(np.uint64), np.log2(frequent["times"].to_numpy(float)).astype(np.int64)
+    o = np.argsort(order)
+    described = described.where("s IS NULL").select("id", "n", "fp")
     classes = stage(spark, described.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
-    total, cells = described.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.ceil(F.col("n") * (100 - percent) / 100) + 1), F.lit(0))).first()
+    total, cells = described.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.ceil(F.col("n") * (100 - percent) / 100) + F.ceil(F.col("n") / 10) + 1), F.lit(0))).first()
 
-    counted = rows.where(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(ORDER_SHARE)) == 0).mapInArrow(_sampled(width), "s long").groupBy("s").count().where("count > 2")
-    frequent = counted.orderBy(F.desc("count"), "s").limit(HEAVY).collect()  # at most HEAVY rows
-    order = np.array([r[0] for r in frequent], np.int64).view(np.uint64)
-    weight = np.array([int(math.log2(r[1])) for r in frequent], np.int64)
-    o = np.argsort(order)
     hot = classes.where(F.col("copies") > max(1, total // HOT_SHARE)).select("fp", "rep").orderBy("fp").collect()  # at most HOT_SHARE rows
     hot = np.array([r[0] for r in hot], np.int64), np.array([r[1] for r in hot], np.int64)
 
     blocks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(cells / COLUMN_BLOCK))
     packed = rows.mapInArrow(_prefixes(width, percent, (order[o], weight[o]), hot, blocks), "block long, s binary, fp binary")
-    met = packed.groupBy("block").applyInArrow(_multiply_columns, "fp long, r long").distinct()
+    met = packed.groupBy("block").applyInArrow(_multiply_columns, "fp long, r long, times long").groupBy("fp", "r").agg(F.sum("times").alias("times"))
     met = stage(spark, met, "met")
+    enough = F.col("shared") >= F.expr(f"1 + (ceil(n * {percent} / 100) div 10)")
+    likely = met.groupBy("fp").agg(F.sum("times").alias("shared")).join(classes, "fp").where(enough).select("fp", "rep", "copies")
+    met = met.select("fp", "r").join(likely, "fp")
 
-    # row blocks of two or more classes, cut into tiles
-    per_block = met.groupBy("r").agg(F.count(F.lit(1)).alias("m"))
+    # row blocks of two or more classes, cut into tiles; a class has at most its own prefix columns of row blocks
+    per_block = met.groupBy("r").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     placed = met.join(per_block, "r").withColumn("t", F.ceil(F.col("m") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp", "r"), F.col("t")).cast("int"))
-    wanted = stage(spark, met.select("fp").distinct().join(classes, "fp").select("fp", "rep", "n", "copies"), "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    ids = wanted.select(F.col("rep").alias("id"), "fp", "n", "copies")
-    matrix = rows.join(F.broadcast(ids.select("id")) if few else ids.select("id"), "id", "left_semi").mapInArrow(_emit_sets(width), "id long, cells binary")
-    matrix = matrix.join(ids, "id").dropDuplicates(["fp"])
-    named = met.groupBy("fp").agg(F.sort_array(F.collect_list("r")).alias("rs"))  # a class has at most its own prefix columns of names
-    tiles = placed.join(matrix.join(named, "fp"), "fp").select("r", "fp", "copies", "own", "cells", "rs", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("o"))
+    places = placed.groupBy("fp", "rep", "copies").agg(F.sort_array(F.collect_list(F.struct("r", "t", "own"))).alias("at"))
+    places = stage(spark, places.withColumnRenamed("rep", "id"), "places")
+    if places.count() <= BROADCAST_PLACES:
+        matrix = rows.join(F.broadcast(places.select("id")), "id", "left_semi").mapInArrow(_emit_sets(width), "id long, fp long, cells binary").join(F.broadcast(places), ["id", "fp"])
+    else:
+        matrix = rows.join(places.select("id"), "id", "left_semi").mapInArrow(_emit_sets(width), "id long, fp long, cells binary").join(places, ["id", "fp"])
+    tiles = matrix.select("fp", "copies", "cells", F.col("at.r").alias("rs"), F.explode("at").alias("p")).select("fp", "copies", "cells", "rs", "p.r", "p.own", F.explode(F.sequence(F.lit(0), F.col("p.t") - 1)).alias("o"))
     tiles = tiles.select("r", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "fp", "copies", "own", "cells", "rs")
     linked = tiles.repartition("r", "i", "j").sortWithinPartitions("r", "i", "j", "fp").mapInArrow(_multiply_tile(percent), "fp long, to long, links long")
     linked = stage(spark, linked, "linked")
