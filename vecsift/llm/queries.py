@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, quality, toxicity
+from . import exact_dedup, jaccard_join, mixing, packing, quality, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1,
     "op2_quality_rules": quality.op2,
     "op3_toxicity_grammar": toxicity.op3,
+    "op4_nnls_packing": packing.op4,
+    "op5_source_mixing": mixing.op5,
     "op8_exact_dedup": exact_dedup.op8,
 }
 
