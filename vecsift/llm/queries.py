@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, mixing, packing, quality, toxicity
+from . import exact_dedup, jaccard_join, mixing, packing, pii, quality, toxicity, vptree
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_toxicity_grammar": toxicity.op3,
     "op4_nnls_packing": packing.op4,
     "op5_source_mixing": mixing.op5,
+    "op6_anchor_pii": pii.op6,
+    "op7_vantage_point_trees": vptree.op7,
     "op8_exact_dedup": exact_dedup.op8,
 }
 
