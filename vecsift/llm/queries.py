@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, mixing, packing, pii, quality, toxicity, vptree
+from . import exact_dedup, jaccard_join, licenses, mixing, packing, pii, quality, toxicity, vptree
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1,
@@ -13,8 +13,10 @@ QUERIES = {
     "op6_anchor_pii": pii.op6,
     "op7_vantage_point_trees": vptree.op7,
     "op8_exact_dedup": exact_dedup.op8,
+    "op10_licence_sentences": licenses.op10,
 }
 
 ORACLE_SQL = {
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op10_licence_sentences": licenses.ORACLE,
 }
