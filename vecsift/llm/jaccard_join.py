@@ -28,11 +28,11 @@ from .common import BROADCAST_IDS, HOT_SHARE, chunks, documents, mix, shingle_se
 from .components import components
 
 WIDTH, PERCENT = 5, 75
-HEAVY = 200_000
-RUN = 1_000_000
+HEAVY = 1_000_000
+RUN = 2_000_000
 TILE = 1500
 BROADCAST_PLACES = 200_000
-COLUMN_BLOCK = 500_000
+COLUMN_BLOCK = 2_000_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -101,48 +101,71 @@ def _prefixes(width: int, percent: int, heavy, hot, blocks: int):
                 k = int(np.searchsorted(hot_fp, fp))
                 if not len(s) or (k < len(hot_fp) and hot_fp[k] == fp and hot_id[k] != i):
                     continue  # of a class with very many copies, one row stands for all
-                p = prefix_length(len(s), percent)
+                size = len(s)
+                p = prefix_length(size, percent)
                 if len(order):
                     at = np.minimum(np.searchsorted(order, s), len(order) - 1)
                     rank = np.where(order[at] == s, weight[at], 0)
                     s = s[np.lexsort((s, rank))[:p]]
                 else:
                     s = s[:p]
-                yield p, (s, np.full(p, fp, np.int64))
+                yield p, (s, fp, size)
 
         def make(rows):
-            s, fp = (np.concatenate(c) for c in zip(*rows, strict=True))
+            sets, fps, sizes = zip(*rows, strict=True)
+            s, who = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), [len(x) for x in sets])
+            fps, sizes = np.array(fps, np.int64), np.array(sizes, np.int64)
             block = (s % np.uint64(blocks)).astype(np.int64)
-            o = np.lexsort((s, block))
-            s, fp, block = s[o], fp[o], block[o]
+            o = np.argsort(block, kind="stable")
+            s, who, block = s[o], who[o], block[o]
             cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            ends = np.r_[cut[1:], len(s)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(block[cut], pa.int64()), pa.array([s[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([fp[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["block", "s", "fp"])
+            out = []
+            for a, b in zip(cut, np.r_[cut[1:], len(s)], strict=True):
+                here, index = np.unique(who[a:b], return_inverse=True)
+                out.append((int(block[a]), s[a:b].tobytes(), index.astype(np.uint32).tobytes(), fps[here].tobytes(), sizes[here].tobytes()))
+            kinds = (pa.int64(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "s", "who", "fp", "n"])
 
         yield from _grouped(cells(), 1_000_000, make)
 
     return run
 
 
-def _multiply_columns(table):
-    """One column block: over the columns with two classes or more, (class, the column's smallest class, number of such columns)."""
+def _multiply_columns(percent: int):
+    """One column block: (class, the smallest class of its column, number of such columns), over columns of two classes or more.
+
+    A column's classes are first parted where, in the order of their sizes, one is too small to link with the next.
+    """
     import pyarrow as pa
 
-    s = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("s")])
-    fp = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("fp")])
-    o = np.lexsort((fp, s))
-    s, fp = s[o], fp[o]
-    once = np.r_[True, (s[1:] != s[:-1]) | (fp[1:] != fp[:-1])]
-    s, fp = s[once], fp[once]
-    new = np.r_[True, s[1:] != s[:-1]]
-    lead = fp[np.flatnonzero(new)][np.cumsum(new) - 1]
-    shared = np.zeros(len(s), bool)
-    other = fp != lead
-    group = np.cumsum(new) - 1
-    shared = np.bincount(group, other)[group] > 0
-    pairs, times = np.unique(np.stack([fp[shared], lead[shared]], 1), axis=0, return_counts=True) if shared.any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-    return pa.table({"fp": pa.array(pairs[:, 0]), "r": pa.array(pairs[:, 1]), "times": pa.array(times)})
+    def run(table):
+        s, fp, n = [], [], []
+        for x in table.to_pylist():
+            who = np.frombuffer(x["who"], np.uint32)
+            s.append(np.frombuffer(x["s"], np.uint64))
+            fp.append(np.frombuffer(x["fp"], np.int64)[who])
+            n.append(np.frombuffer(x["n"], np.int64)[who])
+        s, fp, n = np.concatenate(s), np.concatenate(fp), np.concatenate(n)
+        o = np.argsort(s, kind="stable")
+        s, fp, n = s[o], fp[o], n[o]
+        new = np.r_[True, s[1:] != s[:-1]]
+        lone = new & np.r_[new[1:], True]
+        s, fp, n = s[~lone], fp[~lone], n[~lone]
+        if not len(s):
+            return pa.table({"fp": pa.array([], pa.int64()), "r": pa.array([], pa.int64()), "times": pa.array([], pa.int64())})
+        o = np.lexsort((fp, n, s))
+        s, fp, n = s[o], fp[o], n[o]
+        once = np.r_[True, (s[1:] != s[:-1]) | (fp[1:] != fp[:-1])]
+        s, fp, n = s[once], fp[once], n[once]
+        new = np.r_[True, (s[1:] != s[:-1]) | (100 * n[:-1] < percent * n[1:])]
+        starts = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        lead = np.minimum.reduceat(fp, starts)[group]
+        shared = np.diff(np.r_[starts, len(s)])[group] > 1
+        pairs, times = np.unique(np.stack([fp[shared], lead[shared]], 1), axis=0, return_counts=True) if shared.any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+        return pa.table({"fp": pa.array(pairs[:, 0]), "r": pa.array(pairs[:, 1]), "times": pa.array(times)})
+
+    return run
 
 
 def _emit_sets(width: int):
@@ -254,8 +277,8 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).where("id IS NOT NULL")
     described = stage(spark, rows.mapInArrow(_describe(width), "id long, n long, fp long, s long, times long"), "described")
     frequent = described.where("s IS NOT NULL").groupBy("s").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "s").limit(HEAVY)
-    frequent = frequent.toPandas()  # at most HEAVY rows
-    order, weight = frequent["s"].to_numpy(np.int64).view(np.uint64), np.log2(frequent["times"].to_numpy(float)).astype(np.int64)
+    frequent = frequent.toArrow()  # at most HEAVY rows
+    order, weight = frequent.column("s").to_numpy().view(np.uint64), np.log2(frequent.column("times").to_numpy()).astype(np.int8)
     o = np.argsort(order)
     described = described.where("s IS NULL").select("id", "n", "fp")
     classes = stage(spark, described.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
@@ -265,8 +288,8 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     hot = np.array([r[0] for r in hot], np.int64), np.array([r[1] for r in hot], np.int64)
 
     blocks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(cells / COLUMN_BLOCK))
-    packed = rows.mapInArrow(_prefixes(width, percent, (order[o], weight[o]), hot, blocks), "block long, s binary, fp binary")
-    met = packed.groupBy("block").applyInArrow(_multiply_columns, "fp long, r long, times long").groupBy("fp", "r").agg(F.sum("times").alias("times"))
+    packed = rows.mapInArrow(_prefixes(width, percent, (order[o], weight[o]), hot, blocks), "block long, s binary, who binary, fp binary, n binary")
+    met = packed.groupBy("block").applyInArrow(_multiply_columns(percent), "fp long, r long, times long").groupBy("fp", "r").agg(F.sum("times").alias("times"))
     met = stage(spark, met, "met")
     enough = F.col("shared") >= F.expr(f"1 + (ceil(n * {percent} / 100) div 10)")
     likely = met.groupBy("fp").agg(F.sum("times").alias("shared")).join(classes, "fp").where(enough).select("fp", "rep", "copies")
