@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 # The most ids that a broadcast may hold; beyond it the same join is shuffled.
 BROADCAST_IDS = 2_000_000
+# Spark's own setting: shuffle files go when the query that wrote them ends.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back. The folder goes when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")  # what this write shuffled is not read again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     atexit.register(drop_path, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, licenses, mixing, packing, pii, quality, toxicity, vptree
+from . import exact_dedup, jaccard_join, licenses, mixing, packing, pii, quality, suffix_dedup, toxicity, vptree
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_anchor_pii": pii.op6,
     "op7_vantage_point_trees": vptree.op7,
     "op8_exact_dedup": exact_dedup.op8,
+    "op9_suffix_array_dedup": suffix_dedup.op9,
     "op10_licence_sentences": licenses.op10,
 }
 
