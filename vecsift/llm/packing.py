@@ -34,37 +34,72 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def _encoder(path: str):
     """(the tokenizer, ids of words met before): words between blanks are tokenised alike wherever they stand."""
     if path not in _CACHES:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         _CACHES[path] = Tokenizer.from_file(path), {}
     return _CACHES[path]
 
 
-def token_runs(column, path: str):
-    """(ids of all rows, offsets of the rows) of an Arrow string column without nulls."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
+def _known_ids(names: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the words one after another, number of ids of each)."""
     tok, known = _encoder(path)
-    lists = pc.split_pattern(pc.replace_substring(column.cast(pa.large_string()), "\n", " "), " ")
-    words = lists.flatten().dictionary_encode()
-    names = words.dictionary.to_pylist()
     if len(known) > CACHED_WORDS:
         known.clear()
     new = [w for w in names if w not in known]
     for a in range(0, len(new), 5000):
         part = new[a : a + 5000]
-        for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False), strict=True):
+        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, np.uint32).tobytes()
     parts = [known[w] for w in names]
-    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-    flat = np.frombuffer(b"".join(parts), np.uint32)
-    index = words.indices.to_numpy(zero_copy_only=False)
-    take = size[index]
+    return np.frombuffer(b"".join(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+
+
+# Marks that may stand at a word's end; the tokenizer parts letters and digits from what follows them.
+_MARKS = ".,;:!?$%&*#|"
+
+
+def token_runs(column, path: str):
+    """(ids of all rows, offsets of the rows) of an Arrow string column without nulls.
+
+    Rows are parted at blanks, which the tokenizer drops, and words from the marks at their end, where the tokenizer parts them anyway; each
+    distinct part (ASCII letters in lower case, as the tokenizer has them) goes through the tokenizer once.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.split_pattern(pc.replace_substring(column.cast(pa.large_string()), "\n", " "), " ")
+    words = lists.flatten().dictionary_encode()
+    index, dictionary = words.indices.to_numpy(zero_copy_only=False), words.dictionary
+    stems = pc.utf8_rtrim(dictionary, characters=_MARKS)
+    whole = pc.or_(pc.equal(stems, ""), pc.invert(pc.match_substring_regex(stems, r"[\pL\pN]$")))
+    stems = pc.if_else(whole, dictionary, stems)
+    parts = pa.concat_arrays([pc.ascii_lower(stems), _tails(dictionary, stems)]).dictionary_encode()
+    flat, size = _known_ids(parts.dictionary.to_pylist(), path)
+    begin = np.cumsum(size) - size
+    both = parts.indices.to_numpy(zero_copy_only=False).reshape(2, -1)
+    order = both[:, index].T.ravel()  # stem, tail, stem, tail...
+    take = size[order]
     ends = np.cumsum(take)
-    where = np.repeat((np.cumsum(size) - size)[index] - (ends - take), take) + np.arange(int(ends[-1]) if len(ends) else 0)
+    where = np.repeat(begin[order] - (ends - take), take) + np.arange(int(ends[-1]) if len(ends) else 0)
     per_row = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
-    return flat[where], np.r_[0, ends][per_row]
+    return flat[where], np.r_[0, ends][2 * per_row]
+
+
+def _tails(words, stems):
+    """What each word has after its stem."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    off = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] is not None else np.zeros(0, np.uint8)
+    left = pc.binary_length(stems).to_numpy(zero_copy_only=False)
+    size = np.diff(off) - left
+    at = np.repeat(off[:-1] + left - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    body = pa.py_buffer(raw[at].tobytes())
+    return pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int64).tobytes()), body)
 
 
 def _cut(path: str, window: int, end_id: int):
