@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import retrieval
+
+QUERIES: dict = {**retrieval.QUERIES}
+ORACLE_SQL: dict = {**retrieval.ORACLE_SQL}
