@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import retrieval
+from .plans import retrieval, tables
 
-QUERIES: dict = {**retrieval.QUERIES}
-ORACLE_SQL: dict = {**retrieval.ORACLE_SQL}
+QUERIES: dict = {**retrieval.QUERIES, **tables.QUERIES}
+ORACLE_SQL: dict = {**retrieval.ORACLE_SQL, **tables.ORACLE_SQL}
