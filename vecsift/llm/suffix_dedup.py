@@ -180,25 +180,40 @@ def _dictionary(width: int, gram: int, blocks: int):
     return run
 
 
+PIECE_BITS, PIECE = 20, 1 << 18
+
+
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """Dense ranks. Keys of up to 44 bits of up to 2**20 places are sorted together with their places, in one plain sort."""
+    if len(keys) >> PIECE_BITS:
+        return np.unique(keys, return_inverse=True)[1].astype(np.uint64)
+    both = (keys << np.uint64(PIECE_BITS)) | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    place = (both & np.uint64((1 << PIECE_BITS) - 1)).astype(np.int64)
+    key = both >> np.uint64(PIECE_BITS)
+    out = np.empty(len(keys), np.uint64)
+    out[place] = np.cumsum(np.r_[False, key[1:] != key[:-1]]).astype(np.uint64)
+    return out
+
+
 def suffix_classes(raw: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """Ranks of the suffixes at `starts` by their first `width` bytes (equal rank, equal bytes): prefix doubling from 8-byte words."""
-    padded = np.r_[raw, np.zeros(width + 8, np.uint8)]
-    rank = np.zeros(len(padded) - 7, np.uint64)
-    for k in range(8):
-        rank = (rank << np.uint64(8)) | padded[k : k + len(rank)]
-    have = 8
-    _, code = np.unique(rank, return_inverse=True)
-    code = code.astype(np.uint64)
+    """Ranks of the suffixes at `starts` by their first `width` bytes (equal rank, equal bytes): prefix doubling from 4-byte words."""
+    padded = np.r_[raw, np.zeros(3, np.uint8)].astype(np.uint64)
+    word = np.zeros(len(raw), np.uint64)
+    for k in range(4):
+        word = (word << np.uint64(8)) | padded[k : k + len(raw)]
+    code, have = _ranks(word), 4
+    shift = np.uint64(32 if len(raw) >> PIECE_BITS else PIECE_BITS)
     while have < width:
         far = min(have, width - have)
-        nxt = np.r_[code[far:], np.zeros(far, np.uint64)]
-        _, code = np.unique((code << np.uint64(32)) | nxt, return_inverse=True)
-        code = code.astype(np.uint64)
+        after = np.zeros(len(code), np.uint64)
+        after[: len(code) - far] = code[far:]
+        code = _ranks((code << shift) | after)
         have += far
     return code[starts].astype(np.int64)
 
 
-def _merge(width: int):
+def _merge(width: int, gram: int):
     """Step 3: rows sorted by (block, kind). (document, first bytes, last bytes exclusive) of what starts in a smaller document."""
     import pyarrow as pa
 
@@ -211,15 +226,30 @@ def _merge(width: int):
         o = np.lexsort((doc, name))
         lead = o[np.r_[True, name[o][1:] != name[o][:-1]]]  # of each phrase, the smallest document
         name, doc, size, at = name[lead], doc[lead], size[lead], at[lead]
-        pick = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        raw, at = raw[pick], np.cumsum(size) - size
+        trigger = smallest_in(rolling(raw, gram), width - gram + 1)[at]
         n = size - width + 1
-        owner = np.repeat(np.arange(len(n)), n)
-        starts = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        code = suffix_classes(raw, starts, width)
-        first = np.full(int(code.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, code, doc[owner])
-        return name, doc, n, np.cumsum(n) - n, first[code] < doc[owner]
+        smaller = np.zeros(int(n.sum()), bool)
+        where = np.cumsum(n) - n
+        # equal strings have equal triggers: the dictionary is sorted in pieces of whole triggers
+        by = np.argsort(trigger, kind="stable")
+        ends = np.cumsum(size[by])
+        last = np.flatnonzero(np.r_[trigger[by][1:] != trigger[by][:-1], True])
+        a = 0
+        while a < len(by):
+            base = ends[a - 1] if a else 0
+            k = np.searchsorted(ends[last], base + PIECE, "right") - 1
+            b = int(last[max(k, np.searchsorted(last, a))]) + 1
+            part = by[a:b]
+            z, m = size[part], n[part]
+            body = raw[np.repeat(at[part] - (np.cumsum(z) - z), z) + np.arange(z.sum())]
+            within = np.repeat(np.arange(len(part)), m)
+            step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            code = suffix_classes(body, np.repeat(np.cumsum(z) - z, m) + step, width)
+            first = np.full(int(code.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(first, code, doc[part][within])
+            smaller[where[part][within] + step] = first[code] < doc[part][within]
+            a = b
+        return name, doc, n, where, smaller
 
     def give(doc, a, b):
         rows = [(d, s.astype(np.uint32).tobytes(), e.astype(np.uint32).tobytes()) for d, (s, e) in _pack(doc, [a, b])]
@@ -315,7 +345,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = WIDTH, gra
 
     blocks = max(floor, math.ceil(weight * 19 / STRINGS))
     parsed = rows.join(known, ["doc_id", "h"]).select("doc_id", "body", "ts").mapInArrow(_dictionary(width, gram, blocks), "block long, kind int, name binary, doc binary, n binary, body binary")
-    spans = parsed.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_merge(width), "doc_id long, a binary, b binary")
+    spans = parsed.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_merge(width, gram), "doc_id long, a binary, b binary")
     spans = stage(spark, spans.groupBy("doc_id").agg(F.collect_list("a").alias("aa"), F.collect_list("b").alias("bb")), "spans")
 
     few = spans.count() <= BROADCAST_IDS
