@@ -180,7 +180,7 @@ def _dictionary(width: int, gram: int, blocks: int):
     return run
 
 
-PIECE_BITS, PIECE = 20, 1 << 18
+PIECE_BITS, PIECE = 20, 1 << 17
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
