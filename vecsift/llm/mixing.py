@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, mix, stage
+from .common import documents, mix, stage, tidy
 
 BLOCK = 1024
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -147,12 +147,12 @@ def _deal(counts: np.ndarray, blocks: np.ndarray):
 
 
 def plan_mix(spark: SparkSession, sized: DataFrame, block: int = BLOCK, weights=WEIGHTS, shards: int = SHARDS):
-    """sized: row, source, size -> (per source: source_no, source_size, target; pieces: row, size, lo, hi, source_no, round, slot, words).
+    """sized: row, doc_id, source, size; a source's stream is in the hashed order of its ids, however the rows lie -> (per source: source_no, source_size, target; pieces: row, size, lo, hi, source_no, round, slot, words).
 
     A piece says that round `round` of the mix takes words lo..hi-1 of the row (0-based, end exclusive).
     """
     key = [F.col("source").isNull().alias("s_null"), F.coalesce("source", F.lit("")).alias("s_name")]
-    sized = sized.select("row", "size", *key)
+    sized = sized.select("row", "doc_id", "size", *key)
     per = sized.groupBy("s_null", "s_name").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).orderBy("s_null", "s_name")
     found = per.limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
@@ -167,9 +167,9 @@ def plan_mix(spark: SparkSession, sized: DataFrame, block: int = BLOCK, weights=
 
     # where each row stands in its source: sums of SALTS pieces, then within the piece
     salts = max(SALTS, -(-sum(r["n"] for r in found) // 1_000_000))
-    placed = sized.join(F.broadcast(table), ["s_null", "s_name"]).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
+    placed = sized.join(F.broadcast(table), ["s_null", "s_name"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     base = placed.groupBy("source_no", "salt").agg(F.sum("size").alias("words")).withColumn("base", F.sum("words").over(Window.partitionBy("source_no").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
-    at = F.coalesce(F.sum("size").over(Window.partitionBy("source_no", "salt").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.coalesce(F.sum("size").over(Window.partitionBy("source_no", "salt").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = placed.withColumn("at", at).join(base.select("source_no", "salt", F.coalesce("base", F.lit(0)).alias("base")), ["source_no", "salt"]).withColumn("start", F.col("base") + F.col("at"))
     cut = placed.where("size > 0").select("row", "size", "start", "source_no", "last_slot", "last_words", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("index"))
     joined = cut.join(slots, ["source_no", "index"])
@@ -203,10 +203,10 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK, we
 
     names = docs.columns
     rows = stage(spark, docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    sized = rows.select(F.col("__row").alias("row"), "source", word_count("text").alias("size"))
+    sized = rows.select(F.col("__row").alias("row"), "doc_id", "source", word_count("text").alias("size"))
     _, pieces = plan_mix(spark, sized, block, weights)
-    runs = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("round", "lo", "hi"))).alias("__runs"))
-    joined = rows.join(runs, rows["__row"] == runs["row"]).select(*names, "__runs")
+    runs = pieces.groupBy(F.col("row").alias("__run")).agg(F.sort_array(F.collect_list(F.struct("round", "lo", "hi"))).alias("__runs"))
+    joined = rows.join(runs, F.col("__row") == F.col("__run")).select(*names, "__runs")
     place = names.index("text")
 
     def run(batches):
@@ -232,7 +232,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK, we
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(tidy(run), schema)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else out
 
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, word_hashes
+from .common import chunks, documents, tidy, word_hashes
 
 MOST_LABELLED = 20_000
 TREES, DEPTH, LEAST_LEAF, PENALTY = 24, 3, 8, 2e-4
@@ -84,7 +84,7 @@ def with_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 x = text_stats(raw, off)
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(x)), *[pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(STATS))]], ["id", *STATS])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).mapInArrow(run, "id long, " + ", ".join(f"{s} double" for s in STATS))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).mapInArrow(tidy(run), "id long, " + ", ".join(f"{s} double" for s in STATS))
 
 
 # ---- the fit, on the driver, over at most MOST_LABELLED rows -----------------------------------------------------------------
@@ -180,8 +180,8 @@ def labelled_ids(labels: DataFrame, label: str, modulus: int, remainder: int, mo
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED):
     ids = labelled_ids(labels, "quality", 3, 1, most)
-    rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["l_id"])  # at most `most` ids
-    stats = with_stats(rows.select("doc_id", "text"), "doc_id", "text").join(F.broadcast(ids), F.col("id") == F.col("l_id"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("l_id"))  # at most `most` ids
+    stats = with_stats(rows, "doc_id", "text").join(F.broadcast(ids), F.col("id") == F.col("l_id"))
     data = np.array([tuple(r) for r in stats.orderBy("l_id").limit(2 * most).select("y", *STATS).collect()], float).reshape(-1, len(STATS) + 1)
     return fit_rules(data[:, 1:], data[:, 0])
 
@@ -211,7 +211,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.slice(first, len(x)).columns, *[pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(STATS))]], [*b.schema.names, *[f"__{s}" for s in STATS]])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    wide = docs.mapInArrow(run, schema + ", " + ", ".join(f"__{s} double" for s in STATS))
+    wide = docs.mapInArrow(tidy(run), schema + ", " + ", ".join(f"__{s} double" for s in STATS))
     return wide.where(compile_rules(*model, prefix="__") >= 0.5).select(*names)
 
 
