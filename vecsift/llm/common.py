@@ -49,6 +49,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
         return
 
 
+def tidy(run):
+    """Wrap a task's function: when it ends, what its allocators keep goes back to the system, as the worker process lives on."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library: nothing to trim
+                pass
+
+    return wrapped
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, HOT_SHARE, chunks, documents, mix, shingle_sets, skew_lookup, stage
+from .common import BROADCAST_IDS, HOT_SHARE, chunks, documents, mix, shingle_sets, skew_lookup, stage, tidy
 from .components import components
 
 WIDTH, PERCENT = 5, 75
@@ -275,7 +275,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).where("id IS NOT NULL")
-    described = stage(spark, rows.mapInArrow(_describe(width), "id long, n long, fp long, s long, times long"), "described")
+    described = stage(spark, rows.mapInArrow(tidy(_describe(width)), "id long, n long, fp long, s long, times long"), "described")
     frequent = described.where("s IS NOT NULL").groupBy("s").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "s").limit(HEAVY)
     frequent = frequent.toArrow()  # at most HEAVY rows
     order, weight = frequent.column("s").to_numpy().view(np.uint64), np.log2(frequent.column("times").to_numpy()).astype(np.int8)
@@ -288,7 +288,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     hot = np.array([r[0] for r in hot], np.int64), np.array([r[1] for r in hot], np.int64)
 
     blocks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(cells / COLUMN_BLOCK))
-    packed = rows.mapInArrow(_prefixes(width, percent, (order[o], weight[o]), hot, blocks), "block long, s binary, who binary, fp binary, n binary")
+    packed = rows.mapInArrow(tidy(_prefixes(width, percent, (order[o], weight[o]), hot, blocks)), "block long, s binary, who binary, fp binary, n binary")
     met = packed.groupBy("block").applyInArrow(_multiply_columns(percent), "fp long, r long, times long").groupBy("fp", "r").agg(F.sum("times").alias("times"))
     met = stage(spark, met, "met")
     enough = F.col("shared") >= F.expr(f"1 + (ceil(n * {percent} / 100) div 10)")
@@ -301,12 +301,12 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     places = placed.groupBy("fp", "rep", "copies").agg(F.sort_array(F.collect_list(F.struct("r", "t", "own"))).alias("at"))
     places = stage(spark, places.withColumnRenamed("rep", "id"), "places")
     if places.count() <= BROADCAST_PLACES:
-        matrix = rows.join(F.broadcast(places.select("id")), "id", "left_semi").mapInArrow(_emit_sets(width), "id long, fp long, cells binary").join(F.broadcast(places), ["id", "fp"])
+        matrix = rows.join(F.broadcast(places.select("id")), "id", "left_semi").mapInArrow(tidy(_emit_sets(width)), "id long, fp long, cells binary").join(F.broadcast(places), ["id", "fp"])
     else:
-        matrix = rows.join(places.select("id"), "id", "left_semi").mapInArrow(_emit_sets(width), "id long, fp long, cells binary").join(places, ["id", "fp"])
+        matrix = rows.join(places.select("id"), "id", "left_semi").mapInArrow(tidy(_emit_sets(width)), "id long, fp long, cells binary").join(places, ["id", "fp"])
     tiles = matrix.select("fp", "copies", "cells", F.col("at.r").alias("rs"), F.explode("at").alias("p")).select("fp", "copies", "cells", "rs", "p.r", "p.own", F.explode(F.sequence(F.lit(0), F.col("p.t") - 1)).alias("o"))
     tiles = tiles.select("r", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "fp", "copies", "own", "cells", "rs")
-    linked = tiles.repartition("r", "i", "j").sortWithinPartitions("r", "i", "j", "fp").mapInArrow(_multiply_tile(percent), "fp long, to long, links long")
+    linked = tiles.repartition("r", "i", "j").sortWithinPartitions("r", "i", "j", "fp").mapInArrow(tidy(_multiply_tile(percent)), "fp long, to long, links long")
     linked = stage(spark, linked, "linked")
 
     rep = classes.select("fp", "rep")

@@ -16,11 +16,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, stage
+from .common import documents, stage, tidy
 
 WINDOW, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
-CACHED_WORDS = 400_000
-CHUNK = 4 << 20
+CACHED_WORDS = 150_000
+CHUNK = 2 << 20
 RANKS_PER_TASK = 500_000
 _CACHES: dict[str, tuple] = {}
 
@@ -239,7 +239,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, path: str | None = None
     import pyarrow as pa
 
     cut = _cut(path or tokenizer_path(), window, end_id)
-    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("body")).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("body")).mapInArrow(tidy(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = stage(spark, pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     counts = np.zeros(window + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # at most `window` rows

@@ -9,10 +9,10 @@ The four base kinds give exactly the leftmost, non-overlapping matches of
     ip     [0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)       each part at most 255
     card   [0-9]([\\x20-]?[0-9])+                      12 to 19 digits that pass Luhn's check
     phone  \\+[0-9][\\x20().0-9-]+[0-9]                 9 to 15 digits
-where a match that fails its check is dropped and not tried again. Two kinds are added where they do not touch a base span:
-    account  a cue such as "account" or "iban", then an identifier of 6 to 34 letters and digits with at least 6 digits (an IBAN must
+where a match that fails its check is dropped and not tried again. Two kinds are added:
+    account  where no base span is, a cue such as "account" or "iban", then an identifier of 6 to 34 letters and digits with at least 6 digits (an IBAN must
              have a right check number)
-    url      a scheme with user:password@ before its host
+    url      a scheme with user:password@ before its host (base spans inside it stay)
 """
 
 from __future__ import annotations
@@ -198,8 +198,10 @@ def find_spans(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple
     key = lambda s: (s[0], KINDS.index(s[2]), s[1])
     base.sort(key=key)
     more: list[tuple[int, int, str]] = []
-    for kind, found in (("account", accounts(t, cues)), ("url", urls(t, schemes))):
-        more += [(a, b, kind) for a, b in found if not any(a < y and x < b for x, y, _ in [*base, *more])]
+    for a, b in accounts(t, cues):
+        if not any(a < y and x < b for x, y, _ in [*base, *more]):
+            more.append((a, b, "account"))
+    more += [(a, b, "url") for a, b in urls(t, schemes)]
     return base, sorted([*base, *more], key=key) if more else base
 
 

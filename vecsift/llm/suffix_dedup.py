@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, chunks, documents, mix, skew_lookup, stage
+from .common import BROADCAST_IDS, chunks, documents, mix, skew_lookup, stage, tidy
 from .common import _powers as powers
 
 WIDTH, GRAM = 50, 16
@@ -337,20 +337,20 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = WIDTH, gra
     floor = 2 * spark.sparkContext.defaultParallelism
 
     blocks = max(floor, math.ceil(n_bytes / 18 / CELLS))
-    cells = rows.select("h", "body").mapInArrow(_parse(width, gram, blocks), "block long, kind int, t binary, who binary, h binary")
+    cells = rows.select("h", "body").mapInArrow(tidy(_parse(width, gram, blocks)), "block long, kind int, t binary, who binary, h binary")
     shared = cells.groupBy("block").applyInArrow(_shared_triggers, "h long, t binary")
     shared = stage(spark, shared, "shared")
     weight = shared.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0] / 8
     known = shared.groupBy("h").agg(F.collect_list("t").alias("ts")).join(leads, "h").select(F.col("lead").alias("doc_id"), "h", "ts")
 
     blocks = max(floor, math.ceil(weight * 19 / STRINGS))
-    parsed = rows.join(known, ["doc_id", "h"]).select("doc_id", "body", "ts").mapInArrow(_dictionary(width, gram, blocks), "block long, kind int, name binary, doc binary, n binary, body binary")
-    spans = parsed.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_merge(width, gram), "doc_id long, a binary, b binary")
+    parsed = rows.join(known, ["doc_id", "h"]).select("doc_id", "body", "ts").mapInArrow(tidy(_dictionary(width, gram, blocks)), "block long, kind int, name binary, doc binary, n binary, body binary")
+    spans = parsed.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(tidy(_merge(width, gram)), "doc_id long, a binary, b binary")
     spans = stage(spark, spans.groupBy("doc_id").agg(F.collect_list("a").alias("aa"), F.collect_list("b").alias("bb")), "spans")
 
     few = spans.count() <= BROADCAST_IDS
     touched = rows.join(F.broadcast(spans.select("doc_id")) if few else spans.select("doc_id"), "doc_id", "left_semi").join(leads.select("h", F.col("lead").alias("doc_id")), ["h", "doc_id"], "left_semi")
-    cut = touched.join(spans, "doc_id").select("doc_id", "body", "aa", "bb").mapInArrow(_cut(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = touched.join(spans, "doc_id").select("doc_id", "body", "aa", "bb").mapInArrow(tidy(_cut()), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     found = skew_lookup(described, leads, ["h"], "copies", total, "doc_id")
     found = found.join(cut.select(F.col("doc_id").alias("c_id"), "n_removed", "n_spans", "kept_sha256", F.col("n_bytes").alias("c_bytes")), (F.col("doc_id") == F.col("c_id")) & (F.col("n_bytes") == F.col("c_bytes")) & (F.col("doc_id") == F.col("lead")), "left")
     copy = (F.col("doc_id") > F.col("lead")) & (F.col("n_bytes") >= width)
