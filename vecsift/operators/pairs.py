@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from . import guards
 
 BLOCK = 4096
 
@@ -85,6 +86,7 @@ def search(queries: DataFrame, gallery: DataFrame, k: int, threshold: float) ->
 
     The threshold is applied after the top-k; queries that meet an empty gallery are refused with a null confidence.
     """
+    guards.positive("k", k), guards.finite("threshold", threshold)
     t = top_k(queries, gallery, k)
     ok = F.col("score") >= threshold
     per = t.groupBy("q").agg(F.max("score").alias("best_confidence"), F.count_if(ok).alias("n_accepted"), F.sort_array(F.collect_list(F.when(ok, F.struct("rank", "g")))).alias("hits"))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import guards
 from .pairs import ranked, score_pairs
 
 
@@ -42,6 +43,7 @@ def rerank(queries: DataFrame, gallery: DataFrame, k1: int = 6, k2: int = 3, lam
     """(q, g, score): score = 1 - blended distance for the query's `top` nearest; the rest keep their cosine order below them."""
     import pyarrow as pa
 
+    guards.positive("k1", k1), guards.positive("k2", k2), guards.share("lam", lam)
     scores = score_pairs(queries, gallery)
     best = ranked(scores, top)
     nodes = best.join(gallery.select(F.col("key").alias("g"), "v"), "g").select("q", F.col("rank").cast("long").alias("place"), F.col("g").alias("node"), "v")
