@@ -651,7 +651,7 @@ def p9(spark, d):
 @query("i4_row_order_proof", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 25 = 0) SELECT count(*) AS n, count(*) FILTER (WHERE list_cosine_similarity(v, v) > 1 - 1e-9) AS self_match FROM e")
 def i4(spark, d):
     rows = all_rows(spark, d)
-    top = P.top_k(rows.where("key % 25 = 0"), rows, 1)  # sampled keys are the feature: the reference recomputes a sample
+    top = P.top_k(rows.where("key % 25 = 0"), rows, 1)  # recomputing a sample of rows is the feature
     return top.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("q = g")).alias("self_match"))
 
 
