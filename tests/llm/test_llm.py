@@ -280,6 +280,7 @@ def test_licences_against_plain_reading(spark, nothing):
     for k, (name, rule) in enumerate(licenses.RULES):
         assert name in got[k]["licences"].split(",") and got[k]["n_sentences"] == len(rule)
     assert [got[k]["licence"] for k in (90, 91, 92, 93)] == [None, None, None, "MIT"]
+    assert not [s for v in licenses.SENTENCES.values() for s in v if re.search(r"[.!?;:]\s", s)]
     assert all(re.search(licenses.CUE, s) for v in licenses.SENTENCES.values() for s in v)
     assert licenses.scan_licences(nothing).count() == 0
 

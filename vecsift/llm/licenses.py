@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-# Sentences of well-known licences and notices, by identifier.
+# Sentences of well-known licences and notices, by identifier, as the cut leaves them (at . ! ? ; : before a blank).
 SENTENCES = {
     "mit-name": ["MIT License", "The MIT License", "The MIT License (MIT)"],
     "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"],
@@ -30,13 +30,13 @@ SENTENCES = {
     "apache-use": ["you may not use this file except in compliance with the License"],
     "gpl3-ref": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License v3.0"],
     "gpl-name": ["GNU GENERAL PUBLIC LICENSE"],
-    "gpl-free": ["This program is free software", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "gpl-free": ["This program is free software"],
     "gpl2-later": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "either version 2 of the License, or (at your option) any later version"],
     "gpl3-later": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "cc-by-nc-4": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by-4": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-sa-4": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v"],
     "unlicense": ["This is free and unencumbered software released into the public domain"],
 }
 
