@@ -10,6 +10,7 @@ into the fullest sequence that holds it). The plan says which ranks of which len
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import documents, stage, tidy
 
 WINDOW, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
-CACHED_WORDS = 150_000
+CACHED_WORDS = 600_000
 CHUNK = 2 << 20
 RANKS_PER_TASK = 500_000
 _CACHES: dict[str, tuple] = {}
@@ -52,7 +53,7 @@ def _known_ids(names: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     for a in range(0, len(new), 5000):
         part = new[a : a + 5000]
         for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, np.uint32).tobytes()
+            known[w] = array("I", e.ids).tobytes()
     parts = [known[w] for w in names]
     return np.frombuffer(b"".join(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
 
