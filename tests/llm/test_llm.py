@@ -285,6 +285,26 @@ def test_licences_against_plain_reading(spark, nothing):
     assert licenses.scan_licences(nothing).count() == 0
 
 
+def test_licences_in_wrapped_texts(spark):
+    import textwrap
+
+    known = lambda *ids: [licenses.SENTENCES[k][0] for k in ids]
+    mit = [known("mit-name")[0], "Copyright (c) 2020 A. Person", known("mit-grant")[0] + ":", known("mit-notice")[0] + ".", known("as-is")[0] + ". IN NO EVENT SHALL THE AUTHORS BE LIABLE."]
+    bsd = ["Copyright (c) 2020, A. Person", known("bsd-grant")[0] + ":", *[f"{k}. {s}." for k, s in enumerate(known("bsd-source", "bsd-binary", "bsd-names"), 1)]]
+    gpl = ["; ".join(["This program is free software", *licenses.SENTENCES["gpl2-later"]]) + "."]
+    wrap = lambda paragraphs, mark, gap: f"\n{mark}{gap}".join(f"\n{mark}".join(textwrap.wrap(p, 70)) for p in paragraphs)
+    rows, want = [], {}
+    for mark in ("", "# ", "// ", " * ", "dnl ", "REM "):
+        for gap in ("", f"\n{mark}", f"\r\n{mark}"):
+            for paragraphs, name, n in ((mit, "MIT", 4), (bsd, "BSD-3-Clause", 4), (gpl, "GPL-2.0", 3)):
+                want[len(rows)] = (name, n)
+                rows.append((len(rows), f"{mark}{wrap(paragraphs, mark, gap)}\n"))
+    rows += [(900, "Released under the\n\nMIT License"), (901, "Released under the. MIT Licenses"), (902, "Released under the\nMIT License\nand more"), (903, "Title\nMIT License\nof a kind")]
+    got = {r["doc_id"]: r for r in licenses.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: (got[k]["licence"], got[k]["n_sentences"]) for k in want} == want
+    assert [got[k]["sentence_ids"] for k in (900, 901, 902, 903)] == ["mit-name", "", "mit-ref", "mit-name"]
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 8)).astype(np.float32).tolist()

@@ -1,8 +1,11 @@
 """Licence scans by sentence rules, in DataFrame operations only.
 
-A text is cut into sentences; each is normalised (ASCII letters and digits in lower case, single blanks) and looked up among the known
-licence sentences. The identifiers that come out, in order, are matched against ordered licence rules: a rule holds where its identifiers
-stand next to each other. Everything happens within the row, with no shuffle; the tables are literals of the plan.
+A text is cut into sentences, at . ! ? ; : before a blank and at empty lines; they are normalised (ASCII letters and digits in lower case,
+single blanks) and the known licence sentences are found among them. A sentence may be wrapped: it is one or more whole lines, or parts of
+lines, that follow each other with no end of a sentence and no empty line between, whatever comment marks the lines start with. A line of
+its own, such as a title, is a sentence too; a line within a known sentence is not counted again. The identifiers that come out, in order,
+are matched against ordered licence rules: a rule holds where its identifiers stand next to each other. Everything happens within
+the row, with no shuffle; the tables are literals of the plan.
 """
 
 from __future__ import annotations
@@ -71,15 +74,21 @@ KNOWN = {normalise(s): i for i, listed in SENTENCES.items() for s in listed}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Every known sentence holds one of these, so a sentence without any is not one; a test asserts it.
 CUES = ["licen", "copyright", "permission", "redistribut", "warrant", "free software", "public domain", "endorse", "cc by"]
-CUE = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else "[^A-Za-z0-9]+" for c in cue) for cue in CUES)
+PREFIX = "(?:rem|dnl)"  # comment prefixes of letters; marks of other characters go with the normalising
+CUE = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else f"[^A-Za-z0-9]+(?:(?i:{PREFIX})[^A-Za-z0-9]+)?" for c in cue) for cue in CUES)
+# In a normalised text / is the end of a line and | that of a sentence or paragraph. The longest first.
+WRAPPED = f"(?<=[|/])(?:{'|'.join(s.replace(' ', '[ /]') for s in sorted(KNOWN, key=lambda s: (-len(s), s)))})(?=[|/])"
 
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences, in order."""
-    sentences = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "([.!?;:])[ \\t\\r\\f]+", "$1\n"), "\n")
-    cleaned = F.transform(F.filter(sentences, lambda s: s.rlike(CUE)), lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " ")))
+    held = F.when(text.rlike(CUE), text).otherwise(F.lit(""))
+    marked = F.concat(F.lit("/"), F.translate(held, UPPER + "|/\n", LOWER + ",,/"), F.lit("/"))
+    ended = F.regexp_replace(F.regexp_replace(marked, "[.!?;:](?=[ \\t\\r\\f/])", "|"), "[^a-z0-9|/]+", " ")
+    lines = F.regexp_replace(ended, f"/ ?{PREFIX}(?=[ /])", "/")
+    cut = F.regexp_replace(F.regexp_replace(lines, " ?[|/][ |/]*[|/] ?| ?[|] ?", "|"), " ?/ ?", "/")
     known = F.create_map(*[F.lit(x) for kv in KNOWN.items() for x in kv])
-    return F.filter(F.transform(cleaned, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
+    return F.transform(F.regexp_extract_all(cut, F.lit(WRAPPED), F.lit(0)), lambda s: F.try_element_at(known, F.translate(s, "/", " ")))
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
@@ -99,7 +108,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The same by plain joins: sentences as rows, rules as rows."""
+    """The same by plain joins, for sentences that are not wrapped: sentences as rows, rules as rows."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in KNOWN.items())
     rules = ", ".join(f"({k}, {quote(name)}, {quote(' ' + ' '.join(rule) + ' ')})" for k, (name, rule) in enumerate(RULES))
