@@ -102,6 +102,29 @@ def test_rerank_does_not_depend_on_other_queries_and_keeps_the_rest_below(spark)
     assert {k[1] for k in order[:10]} == best
 
 
+def test_joint_rerank_against_the_whole_matrix_and_over_many_rows(spark):
+    m = np.random.default_rng(5).normal(size=(240, 6))
+    u = m / np.sqrt((m * m).sum(1, keepdims=True))
+    d = 1 - np.clip(u @ u.T, -1, 1)
+    np.fill_diagonal(d, 0.0)
+    rows = vectors(spark, m).withColumn("key", F.col("key").cast("long"))
+    for k1, k2 in ((6, 3), (5, 1)):
+        got = {}
+        for r in rerank.joint_rerank(rows.where("key % 5 = 0"), rows.where("key % 5 <> 0"), k1, k2, 0.3, 10).collect():
+            got.setdefault(r["q"], []).append((r["rank"], r["g"], r["score"]))
+        assert sorted(got) == list(range(0, 240, 5))
+        for q, found in got.items():
+            o = np.r_[q, np.delete(np.arange(240), q)]
+            want = sorted((-(1 - x), g) for g, x in zip(o[1:], rerank.local_distances(d[np.ix_(o, o)], k1, k2, 0.3)[1:]) if g % 5)[:10]
+            assert [g for _, g, _ in sorted(found)] == [g for _, g in want]
+            assert [s for _, _, s in sorted(found)] == pytest.approx([-s for s, _ in want])
+    many = np.random.default_rng(6).normal(size=(5200, 4))
+    many[::13] = many[0]  # 400 copies
+    rows = vectors(spark, many).withColumn("key", F.col("key").cast("long"))
+    n = rerank.joint_rerank(rows.where("key % 50 = 0"), rows.where("key % 50 <> 0"), 6, 3, 0.3, 10).groupBy("q").agg(F.count("score").alias("n"), F.max("score").alias("most")).collect()
+    assert len(n) == 104 and {r["n"] for r in n} == {10} and all(0 <= r["most"] <= 1 for r in n)
+
+
 def test_components_of_a_path_a_cycle_and_lone_nodes(spark):
     nodes = spark.range(30).withColumnRenamed("id", "key")
     edges = spark.createDataFrame([(k, k + 1) for k in range(14)] + [(20, 21), (21, 22), (22, 20), (5, 5)], "a long, b long")

@@ -58,6 +58,36 @@ def score_pairs(queries: DataFrame, gallery: DataFrame, k: int | None = None) ->
     return g.unionByName(q).groupBy("b").applyInArrow(product, "q long, g long, score double")
 
 
+def by_blocks(queries: DataFrame, gallery: DataFrame, columns: list[str], product, schema: str) -> DataFrame:
+    """product(asked, mine), an Arrow table of the schema (long and double), of each gallery block (mine, by key) and all queries (asked)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n = max(1, math.ceil(gallery.count() / BLOCK))
+    q = queries.select("key", *columns, F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
+    g = gallery.select("key", *columns, F.lit(False).alias("asks"), F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("b"))
+
+    def run(block):
+        mine, asked = block.filter(pc.invert(block.column("asks"))), block.filter(block.column("asks"))
+        if not len(mine) or not len(asked):
+            return pa.table({c: pa.array([], pa.int64() if kind == "long" else pa.float64()) for c, kind in (x.split() for x in schema.split(", "))})
+        return product(asked, mine.sort_by("key"))
+
+    return g.unionByName(q).groupBy("b").applyInArrow(run, schema)
+
+
+def least_cosines(rows: DataFrame) -> DataFrame:
+    """(key, least): each row's smallest cosine with any row."""
+    import pyarrow as pa
+
+    def least(asked, mine):
+        gv, qv = _units(mine.column("v")), _units(asked.column("v"))
+        low = [np.clip(qv[a : a + 512] @ gv.T, -1, 1).min(1) for a in range(0, len(qv), 512)]
+        return pa.table({"key": asked.column("key"), "least": pa.array(np.concatenate(low))})
+
+    return by_blocks(rows, rows, ["v"], least, "key long, least double").groupBy("key").agg(F.min("least").alias("least"))
+
+
 def labelled_pairs(queries: DataFrame, gallery: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """q, g, score with ids, cameras and frames of both sides."""
     s = score_pairs(queries, gallery) if scores is None else scores

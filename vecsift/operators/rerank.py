@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from . import guards
-from .pairs import ranked, score_pairs
+from .graph import checkpointed
+from .pairs import _units, by_blocks, least_cosines, neighbours, ranked, score_pairs
 
 
 def local_distances(d: np.ndarray, k1: int, k2: int, lam: float) -> np.ndarray:
@@ -65,26 +67,60 @@ def rerank(queries: DataFrame, gallery: DataFrame, k1: int = 6, k2: int = 3, lam
     return out.select("q", "g", (1 - F.coalesce("d", F.col("most") + 1 + (1 - F.col("score")))).alias("score"))
 
 
-def joint_rerank(rows: DataFrame, queries: DataFrame, k1: int, k2: int, lam: float) -> DataFrame:
-    """The whole graph at once, for small inputs only: the result of a query then depends on all others. Refuses beyond 5,000 nodes."""
-    import pyarrow as pa
+def joint_rerank(queries: DataFrame, gallery: DataFrame, k1: int, k2: int, lam: float, top: int) -> DataFrame:
+    """(q, g, score, rank): each query's `top` best gallery rows by the graph over all queries and gallery rows (no key in both).
 
-    if rows.count() > 5000:
-        raise ValueError("joint re-ranking is quadratic: at most 5000 nodes")
-    asked = {r[0] for r in queries.select("key").collect()}
+    The result of a query depends on all others, as local_distances over all rows with the query as node 0. A row is its own first
+    neighbour; other ties go by key. Joins make the rows' weights, a few dozen each, from the lists of k1 nearest; blocks of the gallery
+    then sum the minima for every pair, so a row that many share makes no pairs of its own.
+    """
+    import pyarrow as pa
 
-    def whole(table):
-        table = table.sort_by("key")
-        keys = table.column("key").to_numpy()
-        v = table.column("v").combine_chunks()
-        v = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
-        v = v / np.sqrt((v * v).sum(1, keepdims=True))
-        d = 1 - np.clip(v @ v.T, -1, 1)
-        np.fill_diagonal(d, 0.0)
+    guards.positive("k1", k1), guards.positive("k2", k2), guards.share("lam", lam), guards.positive("top", top)
+    rows = queries.select("key", "v").unionByName(gallery.select("key", "v"))
+    half = int(np.round(k1 / 2))  # half to even
+    near = checkpointed(neighbours(rows, k1).select("a", "b", "rank").unionByName(rows.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(0).alias("rank"))))
+    far = F.when(F.col("least") < 1, 1 - F.col("least")).otherwise(1.0)
+    nodes = checkpointed(rows.join(least_cosines(rows), "key").select("key", "v", V.unit(F.col("v")).alias("u"), far.alias("far")))
+
+    back = near.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rank").alias("back"))
+    whole = near.join(back, ["a", "b"]).select("a", "b", F.greatest("rank", "back").alias("worst"))
+    sets = checkpointed(whole.groupBy("a").agg(F.collect_list("b").alias("whole"), F.collect_list(F.when(F.col("worst") <= half, F.col("b"))).alias("small")))
+    grown = sets.select("a", "whole", F.explode("whole").alias("b")).join(sets.select(F.col("a").alias("b"), "small"), "b")
+    grown = grown.where(3 * F.size(F.array_intersect("small", "whole")) > 2 * F.size("small")).select("a", F.explode("small").alias("b"))
+    members = sets.select("a", F.explode("whole").alias("b")).union(grown).distinct()
+    d = F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.dot(F.col("u"), F.col("u2")))))
+    members = members.join(nodes.select(F.col("key").alias("a"), "u", "far"), "a").join(nodes.select(F.col("key").alias("b"), F.col("u").alias("u2")), "b")
+    weights = members.select("a", F.struct("b", F.exp(-d / F.col("far")).alias("w")).alias("x")).groupBy("a").agg(F.collect_list("x").alias("x"), F.sum("x.w").alias("sum"))
+    weights = weights.select("a", F.transform("x", lambda x: F.struct(x["b"].alias("b"), (x["w"] / F.col("sum")).alias("w"))).alias("x"))
+    if k2 > 1:
+        n = min(k2, rows.count())
+        spread = near.where(F.col("rank") < k2).join(weights.withColumnRenamed("a", "b"), "b").select("a", F.inline("x").alias("m", "w"))
+        weights = spread.groupBy("a", "m").agg((F.sum("w") / n).alias("w")).groupBy("a").agg(F.collect_list(F.struct(F.col("m").alias("b"), "w")).alias("x"))
+    nodes = checkpointed(nodes.join(weights.withColumnRenamed("a", "key"), "key").select("key", "v", "far", F.col("x.b").alias("m"), F.col("x.w").alias("w")))
+
+    def best(asked, mine):
+        lists = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        sizes = lambda t: t.column("m").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        gm, owner = lists(mine, "m"), np.repeat(np.arange(len(mine)), sizes(mine))
+        order = np.argsort(gm, kind="stable")
+        gm, owner, gw = gm[order], owner[order], lists(mine, "w")[order]
+        qm, qw, ends = lists(asked, "m"), lists(asked, "w"), np.cumsum(sizes(asked))
+        lo = np.searchsorted(gm, qm)
+        count = np.searchsorted(gm, qm, "right") - lo
+        gk, qk, gv, qv, far = mine.column("key").to_numpy(), asked.column("key").to_numpy(), _units(mine.column("v")), _units(asked.column("v")), asked.column("far").to_numpy()
         out = []
-        for i in np.flatnonzero([k in asked for k in keys]):
-            o = np.r_[i, np.delete(np.arange(len(keys)), i)]
-            out.append((np.repeat(keys[i], len(keys) - 1), keys[o[1:]], 1 - local_distances(d[np.ix_(o, o)], k1, k2, lam)[1:]))
+        for a in range(0, len(qk), 512):
+            d = 1 - np.clip(qv[a : a + 512] @ gv.T, -1, 1)
+            for i in range(a, min(a + 512, len(qk))):
+                part = slice(ends[i - 1] if i else 0, ends[i])
+                c = count[part]
+                at = np.repeat(lo[part] - np.cumsum(c) + c, c) + np.arange(c.sum())
+                m = np.bincount(owner[at], np.minimum(np.repeat(qw[part], c), gw[at]), len(gk))
+                score = 1 - ((1 - m / (2 - m)) * (1 - lam) + d[i - a] / far[i] * lam)
+                first = np.argsort(-score, kind="stable")[:top]
+                out.append((np.repeat(qk[i], len(first)), gk[first], score[first]))
         return pa.table({n: pa.array(np.concatenate(c)) for n, c in zip(("q", "g", "score"), zip(*out, strict=True), strict=True)})
 
-    return rows.select("key", "v").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(lambda t: whole(t.drop(["one"])), "q long, g long, score double")
+    of = lambda side: nodes.join(side.select("key"), "key", "left_semi")
+    return ranked(by_blocks(of(queries), of(gallery), ["v", "far", "m", "w"], best, "q long, g long, score double"), top)
