@@ -125,6 +125,41 @@ def test_joint_rerank_against_the_whole_matrix_and_over_many_rows(spark):
     assert len(n) == 104 and {r["n"] for r in n} == {10} and all(0 <= r["most"] <= 1 for r in n)
 
 
+def test_diffusion_against_the_whole_matrix_and_beyond_reach(spark):
+    r = np.random.default_rng(8)
+    m = r.normal(size=(200, 5))
+    m[150:] = [1, 0, 0, 0, 0] + r.normal(size=(50, 5)) * 1e-3  # a tight group
+    m[[0, 5]] = [-9, -9, -9, -9, -9], m[160]
+    queries = np.arange(200) % 5 == 0
+    gk = np.flatnonzero(~queries)
+    u = m / np.sqrt((m * m).sum(1, keepdims=True))
+    cos = np.clip(u[~queries] @ u[~queries].T, 0, 1)
+    np.fill_diagonal(cos, 0)
+    rows = vectors(spark, m)
+    for k, alpha in ((10, 0.9), (3, 0.8)):
+        near = np.zeros_like(cos, bool)
+        np.put_along_axis(near, np.argsort(-cos, 1, kind="stable")[:, :k], True, 1)
+        a = np.where(near & near.T, cos**3, 0)
+        d = a.sum(1)
+        d = np.where(d > 0, 1 / np.sqrt(np.where(d > 0, d, 1)), 0)
+        s = d[:, None] * a * d
+        c = np.clip(u[queries] @ u[~queries].T, -1, 1)
+        y = np.zeros_like(c)
+        first = np.argsort(-c, 1, kind="stable")[:, :3]
+        np.put_along_axis(y, first, np.clip(np.take_along_axis(c, first, 1), 0, 1) ** 3, 1)
+        f = y
+        for _ in range(25):
+            f = alpha * f @ s + (1 - alpha) * y
+        got = {}
+        for x in graph.diffusion(rows.where("key % 5 = 0"), rows.where("key % 5 <> 0"), k, alpha=alpha).collect():
+            got.setdefault(x["q"], []).append((x["rank"], x["g"], x["score"]))
+        for i, q in enumerate(np.flatnonzero(queries)):
+            want = np.lexsort((-c[i], -f[i]))[:10]
+            assert [x[1] for x in sorted(got[q])] == gk[want].tolist()
+            assert [x[2] for x in sorted(got[q])] == pytest.approx(f[i, want].tolist())
+    assert min(f[:, :].astype(bool).sum(1)) < 10  # some walks end before ten rows
+
+
 def test_components_of_a_path_a_cycle_and_lone_nodes(spark):
     nodes = spark.range(30).withColumnRenamed("id", "key")
     edges = spark.createDataFrame([(k, k + 1) for k in range(14)] + [(20, 21), (21, 22), (22, 20), (5, 5)], "a long, b long")
