@@ -273,6 +273,21 @@ def test_mixing_pieces():
     assert c.sum(0).tolist() == [100, 7, 0] and c.min() >= 0 and c.sum(1).max() - c.sum(1).min() <= 1
 
 
+def test_account_numbers_later_in_the_sentence():
+    found = lambda t: [t[a:b] for a, b, kind in pii.find_spans(t)[1] if kind == "account"]
+    for t, want in [
+        ("Account Number: 12345678", "12345678"),
+        ("passport No. X1234567 was lost", "X1234567"),
+        ("the account number ending in 123456 is closed", "123456"),
+        ("Acct. no. 123456-78", "123456-78"),
+        ("IBAN of the seller, as it was given to us: DE89 3704 0044 0532 0130 00.", "DE89 3704 0044 0532 0130 00"),
+        ("IBAN DE 89370400440532013000", "DE 89370400440532013000"),
+    ]:
+        assert found(t) == [want]
+    for t in ("My account. 12345678 people", "account\n12345678", "Account of 2019 with 12345678", "IBAN code DE88 3704 0044 0532 0130 00", "account No", "account " * 50_000):
+        assert found(t) == []
+
+
 def test_licences_against_plain_reading(spark, nothing):
     grant = ["; ".join(licenses.SENTENCES[k][0] for k in rule) for _, rule in licenses.RULES]
     rows = [(k, f"Intro text here.\n{t}.\nMore words.") for k, t in enumerate(grant)] + [(90, None), (91, ""), (92, "A licence is nice. MIT licensed people."), (93, "x " * 50000 + "\nReleased under the MIT License.\n")]

@@ -10,14 +10,15 @@ The four base kinds give exactly the leftmost, non-overlapping matches of
     card   [0-9]([\\x20-]?[0-9])+                      12 to 19 digits that pass Luhn's check
     phone  \\+[0-9][\\x20().0-9-]+[0-9]                 9 to 15 digits
 where a match that fails its check is dropped and not tried again. Two kinds are added:
-    account  where no base span is, a cue such as "account" or "iban", then an identifier of 6 to 34 letters and digits with at least 6 digits (an IBAN must
-             have a right check number)
+    account  where no base span is, a cue such as "account" or "iban", then, as the first word of its sentence with digits, an identifier of
+             6 to 34 letters and digits with at least 6 digits (an IBAN must have a right check number)
     url      a scheme with user:password@ before its host (base spans inside it stay)
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,9 @@ from .common import documents
 KINDS = ["email", "ip", "card", "phone", "account", "url"]
 # Cues that announce an account or identity number (en, fr, de, es).
 CUES = ["account", "acct", "iban", "passport", "ssn", "compte", "konto", "cuenta"]
+# Short forms whose dot ends no sentence.
+SHORT = ["no", "nr", "num", "acct"]
+_WORD_OR_END = re.compile(r"[A-Za-z0-9]+|[\n.!?]")
 _DIGITS = frozenset("0123456789")
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _LOCAL = _ALNUM | frozenset("._%+-")
@@ -141,16 +145,27 @@ def phones(t: str, plus: list[int]):
 
 
 def accounts(t: str, cues: list[tuple[int, int]]):
+    done = 0
     for a, b in cues:
-        if a and t[a - 1].isalpha() or b < len(t) and t[b].isalpha():
+        if a and t[a - 1].isalpha() or b < len(t) and t[b].isalpha() or b <= done:  # the cue before has been here
             continue
-        e = b
-        while e < len(t) and e - b < 16 and not (t[e] in _ALNUM and (t[e].isdigit() or t[e].isupper())):
-            if t[e] in "\n.!?":
-                e = len(t)
+        s, last, end = len(t), t[a:b], b
+        done = s
+        for m in _WORD_OR_END.finditer(t, b):
+            w = m.group()
+            if w in "\n.!?":
+                if w == "." and m.start() == end and last.lower() in SHORT:
+                    continue
+                done = m.start()
                 break
-            e += 1
-        s, kept, end = e, [], e
+            last, end = w, m.end()
+            # a few capitals may be parted from the digits, as an IBAN's country
+            parted = len(w) <= 4 and w.isalpha() and w.isupper() and w.lower() not in SHORT and t[end : end + 1] in (" ", "-") and t[end + 1 : end + 2] in _DIGITS
+            if parted or not w.isalpha():
+                done = m.start()
+                s = done + next(k for k, c in enumerate(w) if c.isdigit() or c.isupper())
+                break
+        e, kept, end = s, [], s
         while e < len(t) and len(kept) < 35 and (t[e] in _ALNUM or (t[e] in " -" and e + 1 < len(t) and t[e + 1] in _DIGITS)):
             if t[e] in _ALNUM:
                 kept.append(t[e])
