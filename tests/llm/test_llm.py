@@ -273,6 +273,13 @@ def test_mixing_pieces():
     assert c.sum(0).tolist() == [100, 7, 0] and c.min() >= 0 and c.sum(1).max() - c.sum(1).min() <= 1
 
 
+def test_lexicon_keeps_insults_of_few_rows(spark):
+    rows = [(f"you are a grobian number {'abcdefgh'[k % 8]}", 1.0) for k in range(981)] + [("what a zwockel again", 1.0)] * 19 + [("a quiet walk by the river", 0.0)] * 1000
+    words, stems = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y double").unionAll(spark.createDataFrame(rows[:981], "text string, y double")))
+    assert "zwockel" in words or any("zwockel".startswith(s) for s in stems)
+    assert toxicity.Grammar(words, stems).insult("zwockel") > 0 == toxicity.Grammar(words, stems).insult("river")
+
+
 def test_account_numbers_later_in_the_sentence():
     found = lambda t: [t[a:b] for a, b, kind in pii.find_spans(t)[1] if kind == "account"]
     for t, want in [

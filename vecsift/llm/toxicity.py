@@ -155,9 +155,7 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     odds = (F.col("pos") + 0.5) / (n1 + 1) / ((F.col("neg") + 0.5) / (n0 + 1))
     kept = counts.where((F.col("pos") >= LEAST_ROWS) & (F.col("pos") >= LEAST_SHARE * (F.col("pos") + F.col("neg")))).withColumn("odds", odds)
     words, stems = {}, {}
-    for token, pos, _, ratio in kept.orderBy(F.desc("pos"), F.desc("odds"), "token").limit(MOST_ENTRIES).collect():
-        if pos < 0.01 * n1:
-            continue
+    for token, _, _, ratio in kept.orderBy(F.desc("pos"), F.desc("odds"), "token").limit(MOST_ENTRIES).collect():
         if token.endswith("*"):
             stems[token[:-1]] = math.log(ratio)
         else:
