@@ -1,9 +1,9 @@
-"""Exact dedup by an extendible-hash index, in DataFrame operations only.
+"""Exact dedup by a grouped aggregate, in DataFrame operations only.
 
-A directory of 2**bits slots counts the distinct hashes of each slot. It doubles (one more bit of the hash) wherever a bucket holds more
-than `capacity` of them, so each bucket is the shallowest prefix that fits. Owner tasks then hold ranges of buckets; entries of one hash
-form a chain, told apart by comparing the bytes of the texts themselves (they are grouping keys, not only their hashes). Copies are
-combined before the shuffle, so a text that a third of all rows share sends one row per task.
+Rows are grouped by the hash and the bytes of their texts. Copies are combined before the shuffle, so a text that a third of all rows share
+sends one row per task. The index of the groups also names the buckets of an extendible hash: a directory of 2**bits slots counts the
+distinct hashes of each slot and doubles (one more bit of the hash) wherever a bucket holds more than `capacity` of them, up to its slots;
+entries of one hash form a chain. Rows are not dealt by bucket, and lookups go by hash: bucket and chain are only columns of the index.
 """
 
 from __future__ import annotations
