@@ -125,10 +125,13 @@ def test_directory_doubles_where_a_bucket_overflows(spark):
     assert {r["depth"] for r in exact_dedup.directory(keys, bits=6, capacity=10**6).collect()} == {0}
 
 
-@pytest.mark.parametrize("piece", [1 << 17, 300])
-def test_suffix_dedup_against_brute_force(spark, docs, monkeypatch, piece):
-    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(spark, docs).collect()}
+TIGHT = suffix_dedup.Tuning(cells=2000, strings=3000, unit=2000, hot=3, piece=300, chunk=700, name_bits=5)
+
+
+@pytest.mark.parametrize("tuning", [suffix_dedup.Tuning(), TIGHT], ids=["plain", "tight"])
+def test_suffix_dedup_against_brute_force(spark, docs, tuning):
+    """tight: many units and blocks, hot triggers, texts in pieces, and names of 32 values only, which clash."""
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(spark, docs, tuning=tuning).collect()}
     seen = set()
     for i, t, *_ in corpus():
         b = (t or "").encode()
