@@ -41,7 +41,7 @@ MOST_HOT = 50_000  # triggers that are told to all tasks; hot triggers have at l
 class Tuning:
     """Sizes that steer memory, never the result."""
 
-    cells: int = 4_000_000  # (trigger, text) of one block
+    cells: int = 800_000  # (trigger, text) of one block
     strings: int = 2_000_000  # of one block's dictionary
     unit: int = 12 << 20  # bytes of text whose phrases are sent once
     hot: int = 200_000  # phrases of one trigger, beyond which its strings are dealt one by one
