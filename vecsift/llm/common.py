@@ -49,22 +49,49 @@ def drop_path(spark: SparkSession, path: str) -> None:
         return
 
 
+def release() -> None:
+    """What the allocators keep goes back to the system, as the worker process lives on."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
 def tidy(run):
-    """Wrap a task's function: when it ends, what its allocators keep goes back to the system, as the worker process lives on."""
+    """Wrap a task's function of batches: memory is released when it ends."""
 
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            import ctypes
+            release()
+
+    return wrapped
+
 
-            import pyarrow as pa
+def tidy_group(run):
+    """Wrap a function of one group's table: memory is released after each group."""
 
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library: nothing to trim
-                pass
+    def wrapped(table):
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return wrapped
+
+
+def tidy_cogroup(run):
+    def wrapped(key, left, right):
+        try:
+            return run(key, left, right)
+        finally:
+            release()
 
     return wrapped
 

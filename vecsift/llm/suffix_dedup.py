@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, CHUNK, chunks, documents, mix, skew_lookup, stage, tidy
+from .common import BROADCAST_IDS, CHUNK, chunks, documents, mix, skew_lookup, stage, tidy, tidy_cogroup, tidy_group
 from .common import _powers as powers
 
 WIDTH, GRAM = 50, 16
@@ -110,8 +110,13 @@ def segments(column, width: int, most: int):
             yield np.array([first]), part, np.array([0, len(part)]), a
 
 
+def _bucket(docs: np.ndarray, blocks: int) -> np.ndarray:
+    return (mix(docs.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+
+
 def _parse(width: int, gram: int, blocks: int, tuning: Tuning):
-    """Step 1 of a task: cells (trigger, text, log2 of its phrases) by block; triggers that two texts of a chunk share are known at once."""
+    """Step 1 of a task: cells (trigger, text, log2 of its phrases) by block, of kind 0; triggers that two texts of a chunk share are
+    known at once and go to the texts' buckets, of kind 1."""
     import pyarrow as pa
 
     def run(batches):
@@ -135,27 +140,27 @@ def _parse(width: int, gram: int, blocks: int, tuning: Tuning):
                 for block, (ts, ws, n) in _pack((t[new] % np.uint64(blocks)).astype(np.int64), [t[new], who.astype(np.uint32), weight]):
                     here, at = np.unique(ws, return_inverse=True)
                     rows.append((block, 0, ts.tobytes(), at.astype(np.uint32).tobytes(), texts[here].tobytes(), n.tobytes()))
-                for name, (ts,) in _pack(h[often], [t[often]]):
-                    rows.append((name % blocks, 1, ts.tobytes(), b"", np.array([name], np.int64).tobytes(), b""))
+                for bucket, (ts, hs) in _pack(_bucket(h[often], blocks), [t[often], h[often]]):
+                    here, at = np.unique(hs, return_inverse=True)
+                    rows.append((bucket, 1, ts.tobytes(), at.astype(np.uint32).tobytes(), here.tobytes(), b""))
                 kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "kind", "t", "who", "doc", "n"])
 
     return run
 
 
-def _shared_triggers(hot: int):
-    """Step 1 of a block: (text, its triggers that another text has too), and with a null text the triggers of over `hot` phrases."""
+def _shared_triggers(hot: int, blocks: int):
+    """Step 1 of a block: by bucket, the texts and their triggers that another text has too; in bucket -1 the triggers of over `hot` phrases."""
     import pyarrow as pa
 
     def run(table):
         t, h, n, out = [], [], [], []
         for x in table.to_pylist():
-            ts, hs = np.frombuffer(x["t"], np.uint64), np.frombuffer(x["doc"], np.int64)
             if x["kind"]:
-                out.append((int(hs[0]), x["t"]))
+                out.append((x["block"], x["t"], x["who"], x["doc"]))
             else:
-                t.append(ts)
-                h.append(hs[np.frombuffer(x["who"], np.uint32)])
+                t.append(np.frombuffer(x["t"], np.uint64))
+                h.append(np.frombuffer(x["doc"], np.int64)[np.frombuffer(x["who"], np.uint32)])
                 n.append(np.frombuffer(x["n"], np.uint8))
         if h:
             t, h, n = np.concatenate(t), np.concatenate(h), np.concatenate(n)
@@ -165,15 +170,30 @@ def _shared_triggers(hot: int):
             starts = np.flatnonzero(new)
             common = np.add.reduceat(np.exp2(n.astype(float)), starts) > hot
             if common.any():
-                out.append((None, t[starts[common]].tobytes()))
+                out.append((-1, t[starts[common]].tobytes(), b"", b""))
             differ = np.maximum.reduceat(h, starts) != np.minimum.reduceat(h, starts)
             keep = differ[np.cumsum(new) - 1]
-            out += [(name, ts.tobytes()) for name, (ts,) in _pack(h[keep], [t[keep]])]
-        return pa.table({"doc_id": pa.array([x[0] for x in out], pa.int64()), "t": pa.array([x[1] for x in out], pa.binary())})
+            for bucket, (ts, hs) in _pack(_bucket(h[keep], blocks), [t[keep], h[keep]]):
+                here, at = np.unique(hs, return_inverse=True)
+                out.append((bucket, ts.tobytes(), at.astype(np.uint32).tobytes(), here.tobytes()))
+        kinds = (pa.int64(), *[pa.binary()] * 3)
+        return pa.table({c: pa.array([x[j] for x in out], k) for j, (c, k) in enumerate(zip(("bucket", "t", "who", "doc"), kinds, strict=True))})
 
     return run
 
 
+def _by_text(table):
+    """Step 1 of a bucket of texts: one row (text, its shared triggers, in order) each."""
+    import pyarrow as pa
+
+    held = table.to_pylist()
+    t = np.concatenate([np.frombuffer(x["t"], np.uint64) for x in held])
+    h = np.concatenate([np.frombuffer(x["doc"], np.int64)[np.frombuffer(x["who"], np.uint32)] for x in held])
+    o = np.lexsort((t, h))
+    rows = [(name, ts.tobytes()) for name, (ts,) in _pack(h[o], [t[o]])]
+    return pa.table({"doc_id": pa.array([x[0] for x in rows], pa.int64()), "ts": pa.array([x[1] for x in rows], pa.binary())})
+
+
 def grouped(raw: np.ndarray, at: np.ndarray, size: np.ndarray, key: np.ndarray, name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order by key, name and document; where a phrase of other bytes begins): phrases of one name are compared byte by byte."""
     o = np.lexsort((doc, name, key))
@@ -241,7 +261,7 @@ def _dictionary(width: int, gram: int, blocks: int, hot: np.ndarray, tuning: Tun
                 keep = np.zeros(len(t), bool)
                 ends = np.searchsorted(r, np.arange(len(off)))
                 for k, row in enumerate(index.tolist()):
-                    known = np.sort(np.frombuffer(b"".join(shared[row].as_py()), np.uint64))
+                    known = np.frombuffer(shared[row].as_py(), np.uint64)
                     mine = t[ends[k] : ends[k + 1]]
                     if len(known) and len(mine):
                         keep[ends[k] : ends[k + 1]] = known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
@@ -323,7 +343,10 @@ def _merge(width: int, gram: int, tuning: Tuning):
         phrase = np.empty(len(o), np.int64)
         phrase[o] = np.cumsum(new) - 1
         l_doc, l_size, l_at = doc[lead], size[lead], at[lead]
-        trigger = smallest_in(rolling(raw, gram), width - gram + 1)[l_at]
+        trigger = np.empty(len(lead), np.uint64)
+        for k in range(0, len(lead), 1 << 14):  # of each phrase's first string
+            some = raw[l_at[k : k + (1 << 14), None] + np.arange(width)].ravel()
+            trigger[k : k + (1 << 14)] = smallest_in(rolling(some, gram), width - gram + 1)[::width]
         n = l_size - width + 1
         smaller = np.zeros(int(n.sum()), bool)
         where = np.cumsum(n) - n
@@ -458,19 +481,19 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = WIDTH, gra
 
     blocks = max(floor, math.ceil(n_bytes / 18 / tuning.cells))
     cells = rows.select("doc_id", "body").mapInArrow(tidy(_parse(width, gram, blocks, tuning)), "block long, kind int, t binary, who binary, doc binary, n binary")
-    shared = cells.repartition(blocks, "block").groupBy("block").applyInArrow(_shared_triggers(max(tuning.hot, n_bytes // 18 // MOST_HOT)), "doc_id long, t binary")
+    shared = cells.repartition(blocks, "block").groupBy("block").applyInArrow(tidy_group(_shared_triggers(max(tuning.hot, n_bytes // 18 // MOST_HOT), blocks)), "bucket long, t binary, who binary, doc binary")
     shared = stage(spark, shared, "shared")
     weight = shared.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0] / 8
-    hot = np.sort(np.frombuffer(b"".join(r[0] for r in shared.where("doc_id IS NULL").select("t").collect()), np.uint64))  # under 2 * MOST_HOT
-    known = shared.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list("t").alias("ts"))
+    hot = np.sort(np.frombuffer(b"".join(r[0] for r in shared.where("bucket < 0").select("t").collect()), np.uint64))  # under 2 * MOST_HOT
+    known = shared.where("bucket >= 0").repartition(blocks, "bucket").groupBy("bucket").applyInArrow(tidy_group(_by_text), "doc_id long, ts binary")
 
     blocks = max(floor, math.ceil(weight * 19 / tuning.strings))
     parsed = rows.join(known, "doc_id").select("doc_id", "h", "body", "ts").mapInArrow(tidy(_dictionary(width, gram, blocks, hot, tuning)), "kind int, block long, uid long, first long, a binary, b binary, c binary, d binary, e binary, f binary")
     parsed = stage(spark, parsed, "parsed")
     answers = parsed.where(F.col("kind") == _DICT).select("block", "uid", "first", "a", "b", "c", "d").repartition(blocks, "block").groupBy("block")
-    answers = answers.applyInArrow(_merge(width, gram, tuning), "uid long, first long, outside binary, n long, k binary, s binary, e binary")
+    answers = answers.applyInArrow(tidy_group(_merge(width, gram, tuning)), "uid long, first long, outside binary, n long, k binary, s binary, e binary")
     units = parsed.where(F.col("kind") == _UNIT).select("uid", "a", "b", "c", "d", "e", "f")
-    spans = units.groupBy("uid").cogroup(answers.groupBy("uid")).applyInArrow(_combine(width), "doc_id long, h long, aa binary, bb binary")
+    spans = units.groupBy("uid").cogroup(answers.groupBy("uid")).applyInArrow(tidy_cogroup(_combine(width)), "doc_id long, h long, aa binary, bb binary")
     spans = stage(spark, spans.dropDuplicates(["doc_id", "h"]), "spans")
 
     few = spans.count() <= BROADCAST_IDS
