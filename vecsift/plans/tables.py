@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import vectors as V
+from ..operators import containment
 from ..operators import integrity as I
 from ..operators import pairs as P
 from ..sources import readers, sinks
@@ -226,14 +227,9 @@ def o2(spark, d):
 
 @query("o3_benchmark_leakage", "SELECT b.item_id, count(*) AS n_documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def o3(spark, d):
-    """Which benchmark passages stand in a document. A passage's first four words are the hash key that finds the documents."""
-    words = lambda c: F.split(F.trim(c), r"\s+")
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(words("text"), 2, 4), " ").alias("key"))
-    w = words(F.col("text"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 3)), lambda i: F.array_join(F.slice(w, i, F.lit(4)), " ")))
-    g = table(spark, d, "documents").select("doc_id", "text", F.explode(grams).alias("key"))
-    keyed = g.join(b, "key").where(F.contains("text", "passage")).select("item_id", "doc_id").distinct()
-    return keyed.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+    """Which benchmark passages stand in a document."""
+    pairs = containment.contained(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text")
+    return pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
 @query("o4_except_both_ways", "(SELECT 'customers' AS only_in, k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders)) UNION ALL (SELECT 'orders', k FROM (SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer))")
