@@ -220,15 +220,65 @@ def test_packing_plan_uses_up_the_histogram():
     rng = np.random.default_rng(5)
     counts = np.zeros(65, np.int64)
     counts[1:] = rng.integers(0, 2000, 64) // np.arange(1, 65) * (rng.random(64) < 0.8)
-    plan = packing.pack_plan(counts, 64)
-    used = Counter()
+    plan, loose = packing.pack_plan(counts, 64)
+    used = Counter(dict(loose))
     for lengths, n in plan:
         assert n > 0 and sum(lengths) <= 64
         for v in lengths:
             used[v] += n
     assert used == Counter({k: int(c) for k, c in enumerate(counts) if c})
-    assert sum(n for _, n in plan) <= 1.02 * (counts * np.arange(65)).sum() / 64 + 1
-    assert packing.pack_plan(np.zeros(65, np.int64), 64) == []
+    assert sum(n for _, n in plan) + -(-sum(v * n for v, n in loose) // 64) <= 1.02 * (counts * np.arange(65)).sum() / 64 + 1
+    assert packing.pack_plan(np.zeros(65, np.int64), 64) == ([], [])
+
+
+@pytest.mark.parametrize("held", [{1100: 1000}, {1100: 1000, 200: 4000}, {1000: 1, 100: 10}, {1500: 700, 1400: 5, 3: 2}, {2048: 9, 1: 3000}])
+def test_packing_pads_little(held):
+    counts = np.zeros(2049, np.int64)
+    for v, n in held.items():
+        counts[v] = n
+    plan, loose = packing.pack_plan(counts, 2048)
+    total = sum(v * n for v, n in held.items())
+    assert sum(n for _, n in plan) + -(-sum(v * n for v, n in loose) // 2048) <= 1.01 * total / 2048 + 1
+
+
+def test_packing_greedy_fills_the_fullest():
+    counts = np.zeros(2049, np.int64)
+    counts[1000], counts[100] = 1, 10
+    assert packing.greedy(counts, 2048) == {48: [((1000, *[100] * 10), 1)]}
+    counts = np.zeros(2049, np.int64)
+    counts[1100], counts[200] = 1000, 4000
+    assert packing.greedy(counts, 2048) == {148: [((1100, 200, 200, 200, 200), 1000)]}
+
+
+def test_packing_of_rests_that_must_be_cut(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    texts = [(k, "word " * (139 + k % 3)) for k in range(200)] + [(None, "a b"), (7, "word " * 139), (500, "x y " * 9000 + "z" * 70)]
+    got = packing.pack_documents(spark, spark.createDataFrame(texts, "doc_id long, text string").repartition(4), window=256).collect()
+    assert sum(r["length"] for r in got) == sum(len(tok.encode(t, add_special_tokens=False).ids) + 1 for _, t in texts)
+    used = {}
+    for r in got:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        if r["doc_id"] not in (7, None):
+            ids = [*tok.encode(dict(texts)[r["doc_id"]], add_special_tokens=False).ids, 1][r["start"] : r["start"] + r["length"]]
+            assert zlib.crc32(np.array(ids, "<u4").tobytes()) == r["ids_crc32"]
+    for p in used.values():
+        assert [o for o, _ in sorted(p)] == list(np.cumsum([0, *[n for _, n in sorted(p)]])[:-1]) and sum(n for _, n in p) <= 256
+    assert set(used) == set(range(len(used))) and len(used) <= 1.01 * sum(r["length"] for r in got) / 256 + 1
+
+
+def test_long_texts_are_tokenised_in_parts():
+    from tokenizers import Tokenizer
+
+    import pyarrow as pa
+
+    text = "Some words, and " * 400 + "q" * 900 + " \nend. " * 300
+    run = packing._cut(packing.tokenizer_path(), 100, 1, chunk=500)
+    rows = pa.Table.from_batches(run([pa.RecordBatch.from_arrays([pa.array([4], pa.int64()), pa.array([text])], ["doc_id", "body"])])).to_pylist()
+    ids = [*Tokenizer.from_file(packing.tokenizer_path()).encode(text, add_special_tokens=False).ids, 1]
+    assert [(r["start"], r["length"], r["doc_tokens"]) for r in rows] == [(k, min(100, len(ids) - k), len(ids)) for k in range(0, len(ids), 100)]
+    assert all(r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) for r in rows)
 
 
 def test_token_parts_are_the_tokenizers_own():
@@ -239,6 +289,12 @@ def test_token_parts_are_the_tokenizers_own():
     ids, off = packing.token_runs(pa.array(texts), packing.tokenizer_path())
     tok = Tokenizer.from_file(packing.tokenizer_path())
     assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    rng = random.Random(11)
+    odd = ["\u0130", "\u0307", "J\u030c", "\u0958", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "\u03a3", "\u1e9e", "\u2126", "\u00c9", "\u00f1", "\u00aa", "\u00df", "'S", "'ll", "\u2019", ".", ",", "!", "|", "$", " ", "\n", "\t", "\xa0", "A", "z", "I", "7", "\u0660", "\u4e00", "e\u0301", "\ufb01"]
+    texts = ["T\u00dcRK\u0130YE CUMHUR\u0130YET\u0130, ANKARA", *("".join(rng.choice(odd) for _ in range(rng.randint(1, 30))) for _ in range(4000))]
+    ids, off = packing.token_runs(pa.array(texts), packing.tokenizer_path())
+    for t, a, b in zip(texts, off[:-1], off[1:], strict=True):
+        assert ids[a:b].tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_mixing_targets_and_totals(spark, docs, nothing):

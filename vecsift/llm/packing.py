@@ -3,8 +3,9 @@
 Documents are tokenised where they lie and cut into windows of `window` ids; what is left of each is one shorter piece. Only the pieces'
 lengths matter from there on. Their histogram has at most `window` bins, so it fits on the driver whatever the input. There, combinations
 of two to four lengths that fill a window exactly are enumerated, non-negative least squares finds how often to repeat each so that the
-histogram is used up, the repeats are rounded down to what is there, and the residual lengths are packed greedily (largest first, each
-into the fullest sequence that holds it). The plan says which ranks of which length go where; each piece looks up its own rank.
+histogram is used up, the repeats are rounded down to what is there, and the residual lengths are packed greedily (largest first, as many
+as fit into the fullest sequence that holds one). Sequences that this leaves with over 1 % padding are taken apart: their pieces are laid
+end to end and cut again where a sequence is full. The plan says which ranks of which length go where; each piece looks up its own rank.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, stage, tidy
+from .common import BROADCAST_IDS, documents, stage, tidy
 
 WINDOW, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 CACHED_WORDS = 600_000
 CHUNK = 2 << 20
-RANKS_PER_TASK = 500_000
+RANKS_PER_TASK, MOST_RANKED = 2_000, 100_000  # pieces of one length ranked at once, more where that makes over MOST_RANKED parts
+SLACK = 100  # a sequence may keep one window/SLACK of padding
 _CACHES: dict[str, tuple] = {}
 
 
@@ -58,15 +60,18 @@ def _known_ids(names: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
 
 
-# Marks that may stand at a word's end; the tokenizer parts letters and digits from what follows them.
+# Marks that may stand at a word's end, and what they may follow (letters that no normalising joins with them).
 _MARKS = ".,;:!?$%&*#|"
+_STEM_END = "[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$"
 
 
 def token_runs(column, path: str):
     """(ids of all rows, offsets of the rows) of an Arrow string column without nulls.
 
-    Rows are parted at blanks, which the tokenizer drops, and words from the marks at their end, where the tokenizer parts them anyway; each
-    distinct part (ASCII letters in lower case, as the tokenizer has them) goes through the tokenizer once.
+    Rows are parted at blanks, which the tokenizer drops, and words from the marks at their end, where the tokenizer parts them anyway: after
+    an ASCII or Latin-1 letter or digit only, as others may be normalised to something that ends in a mark of its own. Words of ASCII
+    letters are put in lower case, as the tokenizer has them, but for those that may hold a special token, which it finds before. Each
+    distinct part goes through the tokenizer once.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -75,9 +80,9 @@ def token_runs(column, path: str):
     words = lists.flatten().dictionary_encode()
     index, dictionary = words.indices.to_numpy(zero_copy_only=False), words.dictionary
     stems = pc.utf8_rtrim(dictionary, characters=_MARKS)
-    whole = pc.or_(pc.equal(stems, ""), pc.invert(pc.match_substring_regex(stems, r"[\pL\pN]$")))
-    stems = pc.if_else(whole, dictionary, stems)
-    parts = pa.concat_arrays([pc.ascii_lower(stems), _tails(dictionary, stems)]).dictionary_encode()
+    stems = pc.if_else(pc.match_substring_regex(stems, _STEM_END), stems, dictionary)
+    plain = pc.and_not(pc.string_is_ascii(stems), pc.match_substring(stems, "<|"))
+    parts = pa.concat_arrays([pc.if_else(plain, pc.ascii_lower(stems), stems), _tails(dictionary, stems)]).dictionary_encode()
     flat, size = _known_ids(parts.dictionary.to_pylist(), path)
     begin = np.cumsum(size) - size
     both = parts.indices.to_numpy(zero_copy_only=False).reshape(2, -1)
@@ -103,24 +108,62 @@ def _tails(words, stems):
     return pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int64).tobytes()), body)
 
 
-def _cut(path: str, window: int, end_id: int):
+def _pieces(text: str, most: int):
+    """The text cut at blanks into parts of about `most` letters; tokens never cross a blank."""
+    a = 0
+    while len(text) - a > most:
+        b = max(text.rfind(" ", a, a + most), text.rfind("\n", a, a + most))
+        if b <= a:
+            later = [x for x in (text.find(" ", a + most), text.find("\n", a + most)) if x >= 0]
+            if not later:
+                break
+            b = min(later)
+        yield text[a:b]
+        a = b
+    yield text[a:]
+
+
+def _cut(path: str, window: int, end_id: int, chunk: int = CHUNK):
+    """Rows doc_id, start, length, ids_crc32, doc_tokens, ids: the windows of each text and its rest, which keeps its ids."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    kinds = (*[pa.int64()] * 5, pa.binary())
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
+
+    def windows(name, arrays):
+        rows, rest, at = [], np.zeros(0, np.uint32), 0
+        for ids in arrays:
+            rest = np.concatenate([rest, ids]) if len(rest) else ids
+            n = len(rest) // window
+            for s in range(0, n * window, window):
+                rows.append((name, at + s, window, zlib.crc32(rest[s : s + window].astype("<u4").tobytes()), None))
+            rest, at = rest[n * window :], at + n * window
+        if len(rest):
+            body = rest.astype("<u4").tobytes()
+            rows.append((name, at, len(rest), zlib.crc32(body), body))
+        total = at + len(rest)
+        return [(*r[:4], total, r[4]) for r in rows]
+
+    def long(text):
+        for part in _pieces(text, chunk):
+            yield token_runs(pa.array([part]), path)[0]
+        yield np.array([end_id], np.uint32)
+
     def run(batches):
         for b in batches:
-            body = b.column("body").fill_null("")
+            ids, body = b.column("doc_id").to_pylist(), b.column("body").fill_null("")
             width = np.cumsum(pc.binary_length(body).to_numpy(zero_copy_only=False))
             a = 0
             while a < len(body):
-                k = max(a + 1, int(np.searchsorted(width, (width[a - 1] if a else 0) + CHUNK)))
-                ids, off = token_runs(body.slice(a, k - a), path)
-                rows = []
-                for i in range(k - a):
-                    doc = np.append(ids[off[i] : off[i + 1]], np.uint32(end_id)).astype("<u4")
-                    name = b.column("doc_id")[a + i].as_py()
-                    rows += [(name, s, min(window, len(doc) - s), zlib.crc32(doc[s : s + window].tobytes()), len(doc)) for s in range(0, len(doc), window)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                before = int(width[a - 1]) if a else 0
+                k = max(a + 1, int(np.searchsorted(width, before + chunk)))
+                if k == a + 1 and width[a] - before > 2 * chunk:
+                    rows = windows(ids[a], long(body[a].as_py()))
+                else:
+                    flat, off = token_runs(body.slice(a, k - a), path)
+                    rows = [r for i in range(k - a) for r in windows(ids[a + i], [np.append(flat[off[i] : off[i + 1]], np.uint32(end_id))])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                 a = k
 
     return run
@@ -173,8 +216,8 @@ def nnls_counts(combos: list[tuple[int, ...]], counts: np.ndarray, sweeps: int =
     return np.array(x)
 
 
-def pack_plan(counts: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths of a sequence, repeats)] that uses up the histogram counts[0..window] exactly."""
+def pack_plan(counts: np.ndarray, window: int) -> tuple[list[tuple[tuple[int, ...], int]], list[tuple[int, int]]]:
+    """([(lengths of a sequence, repeats)], [(length, pieces)] to be laid end to end), which together use up counts[0..window] exactly."""
     left = counts.astype(np.int64).copy()
     plan: list[tuple[tuple[int, ...], int]] = []
     combos = combinations(left, window)
@@ -190,17 +233,39 @@ def pack_plan(counts: np.ndarray, window: int) -> list[tuple[tuple[int, ...], in
         if n > 0:
             plan.append((combo, n))
             left[at] -= n * times
-    room: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)  # free space -> (lengths, how many such sequences)
+    room = greedy(left, window)
+    loose: dict[int, int] = defaultdict(int)
+    for free, held in room.items():
+        if free * SLACK <= window:
+            plan += held
+        else:
+            for lengths, n in held:
+                for v in lengths:
+                    loose[v] += n
+    return plan, sorted(loose.items(), reverse=True)
+
+
+def greedy(left: np.ndarray, window: int) -> dict[int, list[tuple[tuple[int, ...], int]]]:
+    """free space -> [(lengths, how many such sequences)]: largest first, as many as fit into the fullest sequences that hold one."""
+    room: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
     for length in range(window, 0, -1):
         need = int(left[length])
         for free in range(length, window):
+            fit = free // length
+            kept = []
             while need and room[free]:
                 held, n = room[free].pop()
-                use = min(n, need)
-                if n > use:
-                    room[free].append((held, n - use))
-                room[free - length].append(((*held, length), use))
-                need -= use
+                full = min(n, need // fit)
+                if full:
+                    room[free - fit * length].append((held + (length,) * fit, full))
+                    need -= full * fit
+                    n -= full
+                if n and 0 < need < fit:
+                    room[free - need * length].append((held + (length,) * need, 1))
+                    need, n = 0, n - 1
+                if n:
+                    kept.append((held, n))
+            room[free] += kept
             if not need:
                 break
         if need:
@@ -210,14 +275,13 @@ def pack_plan(counts: np.ndarray, window: int) -> list[tuple[tuple[int, ...], in
                 room[window - fit * length].append(((length,) * fit, whole))
             if over:
                 room[window - over * length].append(((length,) * over, 1))
-    for held in room.values():
-        plan += held
-    return plan
+    return {k: v for k, v in room.items() if v}
 
 
-def plan_table(plan) -> dict[int, np.ndarray]:
+def plan_table(plan, loose) -> tuple[dict[int, np.ndarray], dict[int, tuple[int, int]], int]:
     """length -> rows (first rank, first sequence, offset), by first rank: piece number `rank` of its length goes to sequence
-    first sequence + rank - first rank at that offset."""
+    first sequence + rank - first rank at that offset. length -> (first rank, place) of the pieces that are laid end to end after the
+    last sequence, which comes third."""
     rows: dict[int, list] = defaultdict(list)
     used: dict[int, int] = defaultdict(int)
     sequence = 0
@@ -228,42 +292,73 @@ def plan_table(plan) -> dict[int, np.ndarray]:
             used[v] += n
             at += v
         sequence += n
-    return {k: np.array(v, np.int64) for k, v in rows.items()}
+    stream, at = {}, 0
+    for v, n in loose:
+        stream[v] = (used[v], at)
+        at += v * n
+    return {k: np.array(v, np.int64) for k, v in rows.items()}, stream, sequence
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null or empty text is the end id alone. A text of any length is cut every `window` ids. Rows that repeat are packed as often as
-    they come. Extra columns are not read. An empty table gives an empty result.
+    A null or empty text is the end id alone. A text of any length is cut every `window` ids, a long one tokenised in parts. Rows that repeat
+    are packed as often as they come; null ids stay null. Extra columns are not read. An empty table gives an empty result.
     """
     import pyarrow as pa
 
     cut = _cut(path or tokenizer_path(), window, end_id)
-    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("body")).mapInArrow(tidy(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("body")).mapInArrow(tidy(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
     pieces = stage(spark, pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     counts = np.zeros(window + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # at most `window` rows
         counts[length] = n
-    table = plan_table(pack_plan(counts, window))
-    salts = max(8, -(-int(counts.max()) // RANKS_PER_TASK))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("piece"), F.lit(salts)))
+    table, stream, first = plan_table(*pack_plan(counts, window))
+    per_task = max(RANKS_PER_TASK, -(-int(counts.sum()) // MOST_RANKED))
+    salts = F.array(*[F.lit(int(n)) for n in np.maximum(1, -(-counts // per_task))])
+    salted = pieces.drop("ids").withColumn("salt", F.pmod(F.xxhash64("piece"), F.get(salts, F.col("length").cast("int"))))
     sums = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("piece")) - 1).join(F.broadcast(sums.select("length", "salt", "base")), ["length", "salt"])  # window * salts rows
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    # at most window + MOST_RANKED rows are sent
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("piece")) - 1).join(F.broadcast(sums.select("length", "salt", "base")), ["length", "salt"])
 
     def place(batches):
         for b in batches:
             length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
-            sequence, offset = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-            for v in np.unique(length):
-                m = length == v
-                rows = table[int(v)]
-                k = np.searchsorted(rows[:, 0], rank[m], "right") - 1
-                sequence[m], offset[m] = rows[k, 1] + rank[m] - rows[k, 0], rows[k, 2]
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
-
-    return ranked.select(*names, (F.col("rank") + F.col("base")).alias("rank")).mapInArrow(place, ", ".join(f"{n} long" for n in [*names, "sequence_id", "offset"]))
+            sequence, offset, head = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+            for v in np.unique(length).tolist():
+                m = np.flatnonzero(length == v)
+                if v in stream:
+                    end = rank[m] >= stream[v][0]
+                    at = stream[v][1] + (rank[m[end]] - stream[v][0]) * v
+                    sequence[m[end]], offset[m[end]] = first + at // window, at % window
+                    head[m[end]] = np.where(at % window + v > window, window - at % window, 0)
+                    m = m[~end]
+                if len(m):
+                    rows = table[v]
+                    k = np.searchsorted(rows[:, 0], rank[m], "right") - 1
+                    sequence[m], offset[m] = rows[k, 1] + rank[m] - rows[k, 0], rows[k, 2]
+            yield pa.RecordBatch.from_arrays([b.column("piece"), *[b.column(n) for n in names], *[pa.array(c) for c in (sequence, offset, head)]], ["piece", *names, "sequence_id", "offset", "head"])
+
+    out = [*names, "sequence_id", "offset"]
+    placed = ranked.select("piece", *names, (F.col("rank") + F.col("base")).alias("rank")).mapInArrow(place, ", ".join(f"{n} long" for n in ["piece", *out, "head"]))
+    if not stream:
+        return placed.select(*out)
+
+    def split(batches):
+        for b in batches:
+            rows = []
+            for doc, start, length, _, total, sequence, offset, head, ids in zip(*(b.column(n).to_pylist() for n in [*out, "head", "ids"]), strict=True):
+                rows.append((doc, start, head, zlib.crc32(ids[: 4 * head]), total, sequence, offset))
+                rows.append((doc, start + head, length - head, zlib.crc32(ids[4 * head :]), total, sequence + 1, 0))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], out)
+
+    placed = stage(spark, placed, "placed")
+    parted = placed.where("head > 0")
+    few = sum(v * n for v, n in pack_plan(counts, window)[1]) // window <= BROADCAST_IDS  # each sequence cuts one piece at most
+    parted = pieces.select("piece", "ids").join(F.broadcast(parted) if few else parted, "piece").select(*out, "head", "ids")
+    return placed.where("head = 0").select(*out).unionAll(parted.mapInArrow(tidy(split), ", ".join(f"{n} long" for n in out)))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
