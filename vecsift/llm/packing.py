@@ -162,7 +162,12 @@ def _cut(path: str, window: int, end_id: int, chunk: int = CHUNK):
                     rows = windows(ids[a], long(body[a].as_py()))
                 else:
                     flat, off = token_runs(body.slice(a, k - a), path)
-                    rows = [r for i in range(k - a) for r in windows(ids[a + i], [np.append(flat[off[i] : off[i + 1]], np.uint32(end_id))])]
+                    body_of = memoryview(np.insert(flat, off[1:], end_id).astype("<u4").tobytes())
+                    rows, ends = [], (off + np.arange(len(off))).tolist()
+                    for name, lo, hi in zip(ids[a:k], ends[:-1], ends[1:], strict=True):
+                        for s in range(lo, hi, window):
+                            part = body_of[4 * s : 4 * min(hi, s + window)]
+                            rows.append((name, s - lo, len(part) // 4, zlib.crc32(part), hi - lo, part if len(part) < 4 * window else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                 a = k
 
