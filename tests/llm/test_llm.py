@@ -119,10 +119,35 @@ def test_exact_dedup_against_brute_force(spark, docs, nothing):
 
 
 def test_directory_doubles_where_a_bucket_overflows(spark):
-    keys = spark.range(4000).select(F.xxhash64("id").alias("h"))
-    d = exact_dedup.directory(keys, bits=6, capacity=500).collect()
-    assert len(d) == 64 and {r["depth"] for r in d} >= {3} and all(r["bucket"] <= r["slot"] for r in d)
-    assert {r["depth"] for r in exact_dedup.directory(keys, bits=6, capacity=10**6).collect()} == {0}
+    counted = spark.range(4000).select(F.xxhash64("id").alias("h"), F.lit(10).cast("long").alias("size"))
+    levels = exact_dedup.directory(counted, 100, 8)
+    got = exact_dedup.in_bucket(counted, levels)
+    held = {r["bucket"]: r["n"] for r in got.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    assert max(held.values()) <= 100 and len(held) >= 40 and None not in held
+    owners = {}
+    for r in got.collect():
+        lo, hi, n = owners.get(r["owner"], (1 << 64, 0, 0))
+        owners[r["owner"]] = min(lo, r["h"] % (1 << 64)), max(hi, r["h"] % (1 << 64)), n + 1
+    assert set(owners) == set(range(8)) and max(v[2] for v in owners.values()) < 800
+    ranges = [owners[k][:2] for k in range(8)]
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))  # each owner has a range of hashes of its own
+    # all hashes within one slot: only that slot goes on splitting
+    near = spark.range(4000).select((F.col("id") + 5).alias("h"), F.lit(10).cast("long").alias("size"))
+    levels = exact_dedup.directory(near, 100, 8)
+    held = exact_dedup.in_bucket(near, levels).groupBy("bucket").count().collect()
+    assert len(levels) > 1 and max(r["count"] for r in held) <= 100 and sum(r["count"] for r in held) == 4000
+
+
+@pytest.mark.parametrize("hash_of", [lambda body: F.lit(7), lambda body: F.length(body) % 3 - 1, lambda body: -F.length(body)], ids=["one", "three", "lengths"])
+def test_exact_dedup_with_colliding_hashes(spark, docs, hash_of):
+    want = sorted(map(tuple, exact_dedup.exact_dedup(spark, docs).collect()))
+    assert sorted(map(tuple, exact_dedup.exact_dedup(spark, docs, capacity=2, hash_of=hash_of).collect())) == want
+
+
+def test_exact_dedup_deals_texts_to_owners(spark, docs):
+    index, levels, total = exact_dedup.build_index(spark, docs)
+    assert total == docs.count() and sum(r[0] for r in index.select("group_size").collect()) == total
+    assert index.where("bucket IS NULL").count() == 0 and {r[0] for r in index.select("chain").collect()} == {1}
 
 
 TIGHT = suffix_dedup.Tuning(cells=2000, strings=3000, unit=2000, hot=3, piece=300, chunk=700, name_bits=5)

@@ -1,72 +1,141 @@
-"""Exact dedup by a grouped aggregate, in DataFrame operations only.
-
-Rows are grouped by the hash and the bytes of their texts. Copies are combined before the shuffle, so a text that a third of all rows share
-sends one row per task. The index of the groups also names the buckets of an extendible hash: a directory of 2**bits slots counts the
-distinct hashes of each slot and doubles (one more bit of the hash) wherever a bucket holds more than `capacity` of them, up to its slots;
-entries of one hash form a chain. Rows are not dealt by bucket, and lookups go by hash: bucket and chain are only columns of the index.
+"""Exact dedup by an extendible-hash index on shared files, in DataFrame operations only.
+
+1. Directory: hashes of the texts are counted. A bucket is a prefix of the hash; where it holds more than `capacity` distinct hashes the
+   directory doubles, one more bit of the hash, until each bucket fits or the hash has no more bits.
+2. Owners: each owner task has a range of the hash space, whole buckets of about equal bytes. Texts travel to the owner of their bucket
+   once; a text whose hash a large part of all rows share is first combined where it lies, so a copy group of any size is one row a task.
+3. An owner groups the rows of a bucket by hash and compares the texts' bytes; texts of one hash form a chain. The entries are written to
+   the shared files.
+4. Each row finds its bucket in the directory and its entry in the chain of its hash, by the SHA-256 of its text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
-from .common import documents, skew_lookup, stage
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-BITS = 12  # the directory never exceeds 2**BITS slots, whatever the input: that bounds its broadcast
-CAPACITY = 1 << 16
+from .common import HOT_SHARE, documents, skew_lookup, stage
 
+CAPACITY = 1 << 14  # distinct hashes of a bucket; more only beyond 2**MOST_BITS buckets, which bounds the directory
+MOST_BITS = 18
+OWNER_BYTES = 64 << 20
 
-def directory(keys: DataFrame, bits: int = BITS, capacity: int = CAPACITY) -> DataFrame:
-    """slot (the top `bits` bits of h) -> bucket, depth. Depth starts at 0 and grows by one bit while the bucket overflows."""
-    slots = keys.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("slot")).agg(F.approx_count_distinct("h").alias("held"))
-    deep = slots.select("slot", "held", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
-    deep = deep.withColumn("prefix", F.expr(f"shiftrightunsigned(slot, {bits} - depth)"))
-    fits = deep.withColumn("load", F.sum("held").over(Window.partitionBy("depth", "prefix"))).where((F.col("load") <= capacity) | (F.col("depth") == bits))
-    return fits.groupBy("slot").agg(F.min("depth").cast("int").alias("depth")).withColumn("bucket", F.expr(f"shiftleft(shiftrightunsigned(slot, {bits} - depth), {bits} - depth)"))
 
+def _slot(bits: int) -> Column:
+    return F.shiftrightunsigned("h", 64 - bits)
 
-def build_index(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, capacity: int = CAPACITY) -> DataFrame:
-    """One entry per distinct text, kept on shared files: bucket, h, chain (place among the texts of one hash), sha, keep_id, group_size."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).withColumn("h", F.xxhash64("body"))
-    where = directory(rows.select("h"), bits, capacity)
-    entries = rows.groupBy("h", "body").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    entries = entries.select("h", F.sha2("body", 256).alias("sha"), "keep_id", "group_size").withColumn("slot", F.shiftrightunsigned("h", 64 - bits))
-    owned = entries.join(F.broadcast(where), "slot", "left")
-    chain = Window.partitionBy("bucket", "h").orderBy("sha", F.col("keep_id").desc_nulls_last())
-    return stage(spark, owned.withColumn("chain", F.row_number().over(chain)).select("bucket", "h", "chain", "sha", "keep_id", "group_size"), "exact-index")
 
+def directory(counted: DataFrame, capacity: int, owners: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """counted: h, size -> levels (bits, [(slot, bucket, owner)]), each for the slots that the level before left open.
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    A bucket is named by the smallest hash of its range. The first level has about 4 slots for each bucket that is needed; only slots that
+    are overfull by themselves get a further level with 8 more bits.
+    """
+    distinct = counted.count()
+    bits = min(MOST_BITS + 2, max(1, int(np.ceil(np.log2(max(1.0, distinct / capacity)))) + 2))
+    levels, leaves, open_slots, before = [], [], None, 0
+    while True:
+        rows = counted.withColumn("slot", _slot(bits))
+        if open_slots is not None:
+            rows = rows.join(F.broadcast(open_slots), _slot(before) == F.col("open"), "left_semi")
+        held = {r[0]: (r[1], r[2]) for r in rows.groupBy("slot").agg(F.count(F.lit(1)), F.sum("size")).collect()}  # of at most 2**bits slots
+        loads, size = {bits: {k: v[0] for k, v in held.items()}}, {k: v[1] for k, v in held.items()}
+        for d in range(bits - 1, before - 1, -1):
+            loads[d] = {}
+            for k, v in loads[d + 1].items():
+                loads[d][k >> 1] = loads[d].get(k >> 1, 0) + v
+        found, over = [], []
+        for k in sorted(held):
+            depth = next((d for d in range(before, bits + 1) if loads[d][k >> (bits - d)] <= capacity), None)
+            if depth is None and bits < 63:
+                over.append(k)
+            else:
+                depth = bits if depth is None else depth
+                bucket = (k >> (bits - depth)) << (64 - depth)
+                found.append((k, bucket, size[k]))
+        levels.append((bits, found))
+        leaves += [(bucket, n) for _, bucket, n in found]
+        if not over:
+            break
+        open_slots = counted.sparkSession.createDataFrame([(k,) for k in over], "open long")  # at most distinct / capacity
+        before, bits = bits, min(63, bits + 8)
+    # ranges of whole buckets, in the order of the hashes
+    total, at, owner = sum(n for _, n in leaves) or 1, 0, {}
+    for bucket, n in sorted(leaves):
+        owner.setdefault(bucket, min(owners - 1, at * owners // total))
+        at += n
+    return [(b, [(k, bucket - (1 << 64) if bucket >> 63 else bucket, owner[bucket]) for k, bucket, _ in found]) for b, found in levels]
+
+
+def in_bucket(rows: DataFrame, levels) -> DataFrame:
+    """rows: h, ... -> with bucket and owner, looked up in the directory (at most 2**(MOST_BITS + 2) rows are sent)."""
+    spark, names = rows.sparkSession, rows.columns
+    for k, (bits, found) in enumerate(levels):
+        table = spark.createDataFrame(found, f"slot_{k} long, bucket_{k} long, owner_{k} int")
+        rows = rows.withColumn(f"slot_{k}", _slot(bits)).join(F.broadcast(table), f"slot_{k}", "left")
+    pick = lambda c: F.coalesce(*[F.col(f"{c}_{k}") for k in range(len(levels))])
+    return rows.select(*names, pick("bucket").alias("bucket"), pick("owner").alias("owner"))
+
+
+def _hashed(rows: DataFrame, hash_of: Callable[[Column], Column]) -> DataFrame:
+    return rows.withColumn("h", hash_of(F.col("body")).cast("long"))
+
+
+def build_index(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, hash_of: Callable[[Column], Column] = F.xxhash64):
+    """(entries, directory, rows of docs). One entry per distinct text, kept on shared files: bucket, h, chain (its place among the texts of
+    one hash), sha, keep_id, group_size."""
+    rows = _hashed(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")), hash_of)
+    counted = stage(spark, rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("body")).cast("long").alias("size")), "hashes")
+    total, distinct, size = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    floor = 2 * spark.sparkContext.defaultParallelism
+    owners = max(floor, -(-size // OWNER_BYTES))
+    levels = directory(counted.select("h", "size"), max(1, min(capacity, distinct // (4 * floor)), distinct >> MOST_BITS), owners)
+    hot = counted.where(F.col("n") > max(1, total // HOT_SHARE)).select("h", F.lit(True).alias("hot"))  # at most HOT_SHARE rows
+    marked = rows.join(F.broadcast(hot), "h", "left")
+    lone = marked.where("hot IS NULL").select("h", "body", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    many = marked.where("hot").groupBy("h", "body").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    dealt = in_bucket(lone.unionByName(many), levels).repartitionById(owners, F.col("owner"))
+    entries = dealt.groupBy("owner", "bucket", "h", "body").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    entries = entries.select("owner", "bucket", "h", F.sha2("body", 256).alias("sha"), "keep_id", "group_size")
+    chain = Window.partitionBy("owner", "bucket", "h").orderBy("sha")
+    entries = entries.withColumn("chain", F.row_number().over(chain)).select("bucket", "h", "chain", "sha", "keep_id", "group_size")
+    return stage(spark, entries, "exact-index"), levels, total
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     A null text counts as empty. Of equal texts the row with the largest id stays (a null id loses to any other). Rows that repeat an id
     with the same text all carry that id and are marked kept when it is the largest. An empty table gives an empty result. Other columns
-    are not read, whatever their names.
+    are not read, whatever their names. capacity and hash_of steer the index, never the result.
     """
-    index = build_index(spark, docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    rows = rows.select("doc_id", F.xxhash64("body").alias("h"), F.sha2("body", 256).alias("sha"))
-    total = index.agg(F.sum("group_size")).first()[0] or 0
-    found = skew_lookup(rows, index.select("h", "sha", "keep_id", "group_size"), ["h", "sha"], "group_size", total, "doc_id")
+    index, levels, total = build_index(spark, docs, id_col, text_col, capacity, hash_of)
+    rows = _hashed(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")), hash_of)
+    rows = in_bucket(rows.select("doc_id", "h", F.sha2("body", 256).alias("sha")), levels).drop("owner")
+    found = skew_lookup(rows, index.select("bucket", "h", "sha", "keep_id", "group_size"), ["bucket", "h", "sha"], "group_size", total, "doc_id")
     return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("doc_id").isNull() & F.col("keep_id").isNull()).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
-    """The rows of docs that stay, with all their columns (the pipeline's stage).
+    """The rows of docs that stay, with all their columns, whatever their names (the pipeline's stage).
 
-    Only groups of two or more are looked up. They go by broadcast while there are at most `most_broadcast` of them (about 100 bytes
-    each), beyond that by the skew-proof shuffled lookup. Rows that repeat both the id and the text that stay are the same record and
-    all stay.
+    Only groups of two or more are looked up, in the chains of their buckets. They go by broadcast while there are at most
+    `most_broadcast` of them (about 100 bytes each), beyond that by the skew-proof shuffled lookup. Rows that repeat both the id and the
+    text that stay are the same record and all stay.
     """
-    index = build_index(spark, docs)
-    copied = index.where("group_size > 1").select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__n"))
-    keyed = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    index, levels, total = build_index(spark, docs)
+    copied = index.where("group_size > 1").select("bucket", "h", "sha", "keep_id", "group_size")
+    body = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64(body).alias("h"), F.sha2(body, 256).alias("sha"))
+    rows = in_bucket(rows, levels).drop("owner")
     if copied.count() <= most_broadcast:
-        found = keyed.join(F.broadcast(copied), "__sha", "left")
+        found = rows.join(F.broadcast(copied), ["bucket", "h", "sha"], "left")
     else:
-        found = skew_lookup(keyed, copied, ["__sha"], "__n", index.agg(F.sum("group_size")).first()[0], "doc_id")
-    return found.where(F.col("__n").isNull() | F.col("doc_id").eqNullSafe(F.col("__keep"))).select(*docs.columns)
+        found = skew_lookup(rows, copied, ["bucket", "h", "sha"], "group_size", total, "id")
+    return found.where(F.col("group_size").isNull() | F.col("id").eqNullSafe(F.col("keep_id"))).select("doc.*")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
