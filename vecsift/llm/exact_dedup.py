@@ -21,7 +21,7 @@ from .common import HOT_SHARE, documents, skew_lookup, stage
 
 CAPACITY = 1 << 14  # distinct hashes of a bucket; more only beyond 2**MOST_BITS buckets, which bounds the directory
 MOST_BITS = 18
-OWNER_BYTES = 64 << 20
+OWNER_BYTES, MOST_OWNERS = 16 << 20, 32_768  # texts that an owner groups, more where there would be over MOST_OWNERS
 
 
 def _slot(bits: int) -> Column:
@@ -91,9 +91,10 @@ def build_index(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     counted = stage(spark, rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("body")).cast("long").alias("size")), "hashes")
     total, distinct, size = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     floor = 2 * spark.sparkContext.defaultParallelism
-    owners = max(floor, -(-size // OWNER_BYTES))
-    levels = directory(counted.select("h", "size"), max(1, min(capacity, distinct // (4 * floor)), distinct >> MOST_BITS), owners)
-    hot = counted.where(F.col("n") > max(1, total // HOT_SHARE)).select("h", F.lit(True).alias("hot"))  # at most HOT_SHARE rows
+    least = max(1, total // HOT_SHARE)
+    owners = max(floor, min(MOST_OWNERS, -(-size // OWNER_BYTES)))
+    levels = directory(counted.select("h", (F.col("size") * F.when(F.col("n") > least, 1).otherwise(F.col("n"))).alias("size")), max(1, min(capacity, distinct // (4 * floor)), distinct >> MOST_BITS), owners)
+    hot = counted.where(F.col("n") > least).select("h", F.lit(True).alias("hot"))  # at most HOT_SHARE rows
     marked = rows.join(F.broadcast(hot), "h", "left")
     lone = marked.where("hot IS NULL").select("h", "body", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     many = marked.where("hot").groupBy("h", "body").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
