@@ -432,14 +432,50 @@ def test_pruning_is_exact_at_factor_one_and_saves_work():
     centres = rng.normal(size=(30, 6))
     x = vptree._unit((centres[rng.integers(0, 30, 6000)] + 0.05 * rng.normal(size=(6000, 6))))
     tree = vptree.VPTree(x, leaf=64)
-    d, w = tree.search(x[:50], 5, 1.0)
+    w = tree.search(x[:50], 5, 1.0)
     full = np.argsort(np.linalg.norm(x[:50, None] - x[None], axis=2), 1)[:, :5]
     assert all(set(a) == set(b) for a, b in zip(w, full, strict=True)) and tree.visited < 0.5 * 50 * 6000
     visited = tree.visited
-    _, w = tree.search(x[:50], 5, 3.0)
+    w = tree.search(x[:50], 5, 3.0)
     assert tree.visited <= visited and np.mean([len({*a} & {*b}) / 5 for a, b in zip(w, full, strict=True)]) >= 0.9
 
 
+def brute_nearest(rows, k=5):
+    """Ties, to 12 decimals, go to the smaller id."""
+    out = {}
+    for q, a in rows:
+        if q % 50 == 0:
+            s = [(-round(float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))), 12), i) for i, b in rows if i != q]
+            out[q] = [i for _, i in sorted(s)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["multiples", "signs"])
+def test_ties_go_to_the_smaller_id(spark, kind):
+    rng = np.random.default_rng(4)
+    if kind == "multiples":  # 400 multiples of one vector
+        base = rng.normal(size=7)
+        rows = [(k, (base * (0.3 + 0.37 * k)).tolist()) for k in range(400)]
+    else:  # few distinct cosines
+        rows = [(k, v.tolist()) for k, v in enumerate(rng.choice([-1.0, 1.0, 3.0], size=(500, 5)))]
+    found = vptree.nearest(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=40)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == brute_nearest(rows)
+
+
+def test_recall_of_a_relaxed_factor(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16))
+    rows = [(k, v.tolist()) for k, v in enumerate(centres[rng.integers(0, 40, 3000)] + 0.3 * rng.normal(size=(3000, 16)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = {tuple(r) for r in vptree.nearest(spark, df).select("query_id", "vec_id").collect()}
+    assert exact == {(q, i) for q, v in brute_nearest(rows).items() for i in v}
+    relaxed = {tuple(r) for r in vptree.nearest(spark, df, factor=1.5).select("query_id", "vec_id").collect()}
+    assert len(exact & relaxed) >= 0.9 * len(exact)
+
+
 def labelled(spark, n=600):
     rng = random.Random(2)
     rows, labels = [], []

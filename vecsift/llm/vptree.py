@@ -2,9 +2,11 @@
 
 Cosine is searched as the Euclidean distance of unit vectors, which is a metric. A tree node keeps a vantage point and the median distance
 of its vectors to it; a query leaves out a half when the triangle inequality says that nothing there can beat its current k-th distance
-tau divided by `factor`. factor 1 is exact search; a larger factor prunes more and may miss neighbours. Equal vectors are kept once per
-shard with the smallest ids that can be returned, so a vector that a third of all rows share costs one leaf entry. The found candidates
-are scored again on the original vectors, each pair by the same sum.
+tau divided by `factor`. factor 1 is exact search; a larger factor prunes more and may miss neighbours. Vectors of one direction (equal ones
+and positive multiples) are one leaf entry with the smallest ids that can be returned, so a vector that a third of all rows share costs
+no more than any other; entries are numbered by their smallest ids, and of equally near ones the smaller numbers are kept. A shard's task
+builds its tree from its own rows; the queries stream past it. The found candidates are scored again on the original vectors, each pair
+by the same sum. Scores that agree to 12 decimals are ties.
 """
 
 from __future__ import annotations
@@ -15,8 +17,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 LEAF, SHARD_ROWS, QUERY_BLOCK = 256, 40_000, 512
-FACTOR = 1.5
+FACTOR = 1.0
+SAME = 12  # decimals
+_PLACES = 22  # bits of an entry's number; the rest of 63 bits holds the cosine's distance from 1 to 2**-40
 K, QUERY_EVERY = 5, 50
 
 
@@ -47,24 +53,22 @@ class VPTree:
     def _distances(self, queries, index):
         return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (queries @ self.unit[index].T)))
 
-    def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """(distances, indexes), [queries, k], nearest first; index -1 where there are fewer."""
-        best = np.full((len(queries), k), np.inf)
-        which = np.full((len(queries), k), -1)
+    def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> np.ndarray:
+        """The entries nearest to each query, [queries, k], nearest first and equally near ones by number; -1 where there are fewer."""
+        best = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.visited = 0
-        self._visit(self.root, queries, np.arange(len(queries)), k, factor, best, which)
-        return best, which
+        self._visit(self.root, queries, np.arange(len(queries)), k, factor, best)
+        return np.where(best == np.iinfo(np.int64).max, -1, best & ((1 << _PLACES) - 1))
 
-    def _visit(self, node, queries, active, k, factor, best, which):
+    def _visit(self, node, queries, active, k, factor, best):
         if isinstance(node, np.ndarray):
             for a in range(0, len(node), 4096):
                 part = node[a : a + 4096]
                 self.visited += len(part) * len(active)
-                d = np.concatenate([best[active], self._distances(queries[active], part)], 1)
-                w = np.concatenate([which[active], np.broadcast_to(part, (len(active), len(part)))], 1)
-                take = np.argpartition(d, k - 1, 1)[:, :k]
-                take = np.take_along_axis(take, np.argsort(np.take_along_axis(d, take, 1), 1, kind="stable"), 1)
-                best[active], which[active] = np.take_along_axis(d, take, 1), np.take_along_axis(w, take, 1)
+                far = np.rint((1.0 - queries[active] @ self.unit[part].T) * 2.0**40).astype(np.int64)
+                keys = np.concatenate([best[active], (np.maximum(far, 0) << _PLACES) + part], 1)
+                keys.partition(k - 1, 1)
+                best[active] = np.sort(keys[:, :k], 1)
             return
         vantage, inner_most, outer_least, inner, outer = node
         d = self._distances(queries[active], np.array([vantage]))[:, 0]
@@ -72,9 +76,10 @@ class VPTree:
         for first in (True, False):  # the nearer half first, so that tau is small when the other is weighed
             for child, mine, gap in ((inner, near, d - inner_most), (outer, ~near, outer_least - d)):
                 chosen = mine if first else ~mine
-                chosen = chosen & (gap <= best[active, k - 1] / factor + 1e-9)
+                tau = np.sqrt(2.0 * ((best[active, k - 1] >> _PLACES) + 1) / 2.0**40)
+                chosen = chosen & (gap <= tau / factor + 1e-7)
                 if chosen.any():
-                    self._visit(child, queries, active[chosen], k, factor, best, which)
+                    self._visit(child, queries, active[chosen], k, factor, best)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -103,7 +108,41 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return v.where("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(v, x -> x <> 0)")
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = QUERY_EVERY, k: int = K, factor: float = FACTOR) -> DataFrame:
+class Shard:
+    """The rows of one shard: entries of one direction each, numbered by their smallest ids, and the tree over them."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.v = ids[order], v[order]
+        unit = _unit(self.v)
+        alike = np.ascontiguousarray(np.round(unit, SAME) + 0.0)
+        _, first, group = np.unique(alike.view(np.dtype((np.void, alike.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
+        number = np.empty(len(first), np.int64)
+        number[np.argsort(first, kind="stable")] = np.arange(len(first))
+        group = number[group]
+        self.members = np.argsort(group, kind="stable")
+        self.starts = np.searchsorted(group[self.members], np.arange(len(first) + 1))
+        self.tree = VPTree(unit[np.sort(first)])
+
+    def nearest(self, q_ids: np.ndarray, q: np.ndarray, k: int, factor: float):
+        """(query id, row id, score) of each query's k nearest rows here, without its own id."""
+        found = self.tree.search(_unit(q), min(k + 1, len(self.starts) - 1), factor)  # one more: the query itself may be among them
+        r, c = np.nonzero(found >= 0)
+        g = found[r, c]
+        most = np.minimum(self.starts[g + 1] - self.starts[g], k + 1)  # of an entry, its smallest ids
+        r = np.repeat(r, most)
+        row = self.members[np.repeat(self.starts[g] - (np.cumsum(most) - most), most) + np.arange(int(most.sum()))]
+        other = self.ids[row] != q_ids[r]
+        r, row = r[other], row[other]
+        score = exact_cosine(q[r], self.v[row]) if len(r) else np.zeros(0)
+        o = np.lexsort((self.ids[row], -np.round(score, SAME), r))
+        r, row, score = r[o], row[o], score[o]
+        first = np.searchsorted(r, r)
+        keep = np.arange(len(r)) - first < k
+        return q_ids[r[keep]], self.ids[row[keep]], score[keep]
+
+
+def nearest(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = QUERY_EVERY, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id `every` divides, its k nearest other rows by cosine.
 
     Vectors that are null, zero or hold null or non-finite components take no part. Vectors of different lengths do not meet. Ties go to
@@ -114,35 +153,33 @@ def nearest(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vec
 
     rows = usable(vectors, id_col, vec_col).withColumn("dim", F.size("v"))
     total = rows.count()
-    shards = max(2 * spark.sparkContext.defaultParallelism, math.ceil(total / SHARD_ROWS))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    queries = rows.where(F.col("id") % every == 0).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def search(key, mine, asked):
-        if not len(mine) or not len(asked):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, v = mine.column("id").to_numpy(), _matrix(mine.column("v"))
-        order = np.argsort(ids, kind="stable")
-        ids, v = ids[order], v[order]
-        _, first, group = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
-        by_group = np.argsort(group, kind="stable")
-        starts = np.searchsorted(group[by_group], np.arange(len(first) + 1))
-        tree = VPTree(_unit(v[first]))
-        q_ids, q = asked.column("id").to_numpy(), _matrix(asked.column("v"))
-        out: list[tuple[np.ndarray, ...]] = []
-        for a in range(0, len(q_ids), QUERY_BLOCK):
-            qb, ib = q[a : a + QUERY_BLOCK], q_ids[a : a + QUERY_BLOCK]
-            _, found = tree.search(_unit(qb), min(k + 1, len(first)), factor)  # one more: the query itself may be among them
-            r, c = np.nonzero(found >= 0)
-            g = found[r, c]
-            score = exact_cosine(qb[r], v[first[g]])
-            for row, grp, s in zip(r.tolist(), g.tolist(), score.tolist(), strict=True):
-                own = [int(x) for x in ids[by_group[starts[grp] : min(starts[grp + 1], starts[grp] + k + 1)]] if x != ib[row]][:k]
-                out += [(int(ib[row]), x, s) for x in own]
-        return pa.table({n: pa.array(c, t) for (n, t), c in zip((("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())), zip(*out, strict=True) if out else ([], [], []), strict=True)})
-
-    found = dealt.groupBy("dim", "shard").cogroup(queries.groupBy("dim", "shard")).applyInArrow(search, "query_id long, vec_id long, score double").distinct()
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    shards = max(2 * spark.sparkContext.defaultParallelism, math.ceil(total / min(shard_rows, 1 << _PLACES - 1)))
+    dealt = rows.select("dim", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "id", "v")
+    queries = rows.where(F.col("id") % every == 0).select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "id", "v")
+
+    def search(batches):
+        """Rows come by (dim, shard, asks): the rows of a shard, then its queries."""
+        key, held, tree = None, [], None
+        for b in batches:
+            dim, shard, asks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "shard", "asks"))
+            cut = np.flatnonzero(np.r_[True, (dim[1:] != dim[:-1]) | (shard[1:] != shard[:-1]) | (asks[1:] != asks[:-1])]) if len(b) else []
+            for a, e in zip(cut, np.r_[cut[1:], len(b)].astype(int), strict=True):
+                if (dim[a], shard[a]) != key:
+                    key, held, tree = (dim[a], shard[a]), [], None
+                part = b.slice(a, e - a)
+                ids, v = part.column("id").to_numpy(), _matrix(part.column("v"))
+                if not asks[a]:
+                    held.append((ids, v))
+                    continue
+                if tree is None and held:
+                    tree, held = Shard(*(np.concatenate(x) for x in zip(*held, strict=True))), []
+                for s in range(0, len(ids) if tree else 0, QUERY_BLOCK):
+                    out = tree.nearest(ids[s : s + QUERY_BLOCK], v[s : s + QUERY_BLOCK], k, factor)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+    met = dealt.unionAll(queries).repartitionById(shards, F.col("shard")).sortWithinPartitions("dim", "shard", "asks")
+    found = met.mapInArrow(tidy(search), "query_id long, vec_id long, score double").distinct()
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", SAME).desc(), "vec_id"))
     return found.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
