@@ -411,6 +411,45 @@ def test_licences_in_wrapped_texts(spark):
     assert [got[k]["sentence_ids"] for k in (900, 901, 902, 903)] == ["mit-name", "", "mit-ref", "mit-name"]
 
 
+def test_licences_of_other_texts(spark):
+    header = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published\nby the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n"
+    library = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n"
+    apache = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS"
+    zlib_text = "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n"
+    bsd = "; ".join(licenses.SENTENCES[k][0] for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"))
+    texts = [header, library, apache, zlib_text, bsd, "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007", f"{apache}\n\n{bsd}", "# Distributed under the Boost Software License, Version 1.0.\n# (See accompanying file)", None, ""]
+    got = {r["doc_id"]: r["licences"] for r in licenses.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == ["AGPL-3.0", "LGPL-2.1", "Apache-2.0", "Zlib", "BSD-3-Clause", "GPL-3.0", "Apache-2.0,BSD-3-Clause", "BSL-1.0", "", ""]
+
+
+def test_licences_against_the_sql_on_wrapped_texts(spark):
+    import textwrap
+
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(9)
+    every, rows = [s for v in licenses.SENTENCES.values() for s in v], []
+    for k in range(300):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            s = rng.choice([rng.choice(every), rng.choice(every), "Some words of licence text", "copyright", ""])
+            if rng.random() < 0.3:
+                s = rng.choice(["rem ", "More on "]) + s
+            if rng.random() < 0.6:
+                mark = rng.choice(["", "# ", " * ", "REM ", "dnl "])
+                s = mark + f"\n{mark}".join(textwrap.wrap(s, rng.choice([20, 40, 70])))
+            parts.append(s)
+        text = "".join(s + rng.choice(["\n", "\n\n", ". ", ".\n", "; ", " ", ":\r\n", "\nREM\nREM ", "\n#\n", " | "]) for s in parts)
+        rows.append((k, text if k % 3 else text.upper()))
+    rows += [(300, None), (301, "")]
+    spark_rows = sorted(map(tuple, licenses.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert spark_rows == sorted(con.execute(licenses.ORACLE).fetchall())
+    assert len({r[3] for r in spark_rows}) > 20
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 8)).astype(np.float32).tolist()
