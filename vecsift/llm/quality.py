@@ -50,8 +50,10 @@ def text_stats(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         out[:, at[name]] = c / bytes_
     out[:, at["n_words"]] = np.log1p(counts)
     out[:, at["word_bytes"]] = (size - shares[list(_CLASSES).index("space")]) / nw
+    within = np.ones(len(raw), bool)  # whether the next byte is of the same text
+    within[off[1:][size > 0] - 1] = False
     odd = luts[raw, list(_CLASSES).index("symbol")] | luts[raw, list(_CLASSES).index("bang")]
-    out[:, at["symbol_runs"]] = per_text(np.r_[odd[:-1] & odd[1:] & (raw[:-1] == raw[1:]), False]) / nw
+    out[:, at["symbol_runs"]] = per_text(within & np.r_[odd[:-1] & odd[1:] & (raw[:-1] == raw[1:]), False]) / nw
     ends = np.r_[0, np.cumsum(counts)]
     doc = np.repeat(np.arange(n), counts)
     for name, back in (("repeats", 1), ("second_repeats", 2)):
@@ -69,7 +71,7 @@ def text_stats(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     first[1:] = (words[order][1:] != words[order][:-1]) | (doc[order][1:] != doc[order][:-1])
     out[:, at["distinct"]] = np.bincount(doc[order], first, minlength=n) / nw
     upper = luts[raw, 0]
-    out[:, at["upper_words"]] = per_text(np.r_[upper[:-1] & upper[1:], False]) / nw
+    out[:, at["upper_words"]] = per_text(within & np.r_[upper[:-1] & upper[1:], False]) / nw
     return np.where(np.isfinite(out) & (ends[-1] >= 0), out, 0.0)
 
 
@@ -202,17 +204,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import pyarrow as pa
 
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    names = docs.columns
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # one column, so that no name of docs meets one of the statistics
 
     def run(batches):
         for b in batches:
-            for first, raw, off in chunks(b.column(b.schema.names.index("text"))):
+            for first, raw, off in chunks(b.column(1)):
                 x = text_stats(raw, off)
-                yield pa.RecordBatch.from_arrays([*b.slice(first, len(x)).columns, *[pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(STATS))]], [*b.schema.names, *[f"__{s}" for s in STATS]])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(x)), *[pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(STATS))]], ["doc", *STATS])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    wide = docs.mapInArrow(tidy(run), schema + ", " + ", ".join(f"__{s} double" for s in STATS))
-    return wide.where(compile_rules(*model, prefix="__") >= 0.5).select(*names)
+    rows = docs.select(whole.alias("doc"), F.col("text").alias("body"))
+    wide = rows.mapInArrow(tidy(run), f"doc {rows.schema['doc'].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATS))
+    return wide.where(compile_rules(*model) >= 0.5).select("doc.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
