@@ -557,12 +557,104 @@ def test_compiled_rules_are_the_rules(spark):
 def test_clause_patterns():
     g = toxicity.Grammar({"fool": 2.0}, {"zqab": 3.0})
     kinds = lambda t: [x[2] for x in g.clauses(t)]
-    assert kinds("A fool. Nothing here. You fool!") == ["plain", "targeted"]
-    assert kinds("Not a fool; he said fool") == ["negated", "reported"]
-    assert kinds("I will kill you. They said they would kill you. foolish zqab zqabel") == ["threat", "plain"]
+    assert kinds("A fool. Nothing here. You fool!") == [{"plain": 2.0}, {"targeted": 2.0}]
+    assert kinds("Not a fool; he said fool") == [{"negated": 2.0}, {"reported": 2.0}]
+    assert kinds("I will kill you. They said they would kill you. foolish zqab zqabel") == [{"threat": 1.0}, {"plain": 3.0}]
+    assert kinds("I will kill you fool. fool but not a fool") == [{"targeted": 2.0, "threat": 1.0}, {"plain": 2.0, "negated": 2.0}]
+    assert kinds("kill the mosquito du matin; je vais te tuer; tuer him; Don\u2019t kill you; l'fool") == [{"threat": 1.0}, {"plain": 2.0}]
     assert kinds("") == [] and g.describe(None)[-1] == 0.0
 
 
+def test_composed_machine_is_the_cascade():
+    rng = random.Random(3)
+    symbols = [("word",), ("insult",), ("negation",), ("report",), ("target", ("en",)), ("threat", ("en", "fr")), ("target", ("de", "fr"))]
+    none = frozenset()
+    for _ in range(300):
+        line = [(rng.choice(symbols), rng.random()) for _ in range(rng.randint(0, 12))]
+        state, out = toxicity.machine().run(line)
+        step, states = line, []
+        for t in (toxicity.Transducer(0, toxicity._negation), toxicity.Transducer(False, toxicity._reported), toxicity.Transducer(none, toxicity._remember("target")), toxicity.Transducer(none, toxicity._remember("threat"))):
+            last, step = t.run(step)
+            states.append(last)
+        assert out == step and state == (((states[0], states[1]), states[2]), states[3])
+
+
+def plain_toxicity(text, words, stems, w):
+    """Clause by clause and word by word, without machines or anchors."""
+    total = dict.fromkeys(toxicity.PATTERNS, 0.0)
+    anchors = {*" ".join(toxicity.THREATS.values()).split()}
+    for part in re.split(r"[.!?;:\n|]", (text or "").lower().replace("\u2019", "'")):
+        found = [x[x.find("'") + 1 :] if 0 < x.find("'") <= 2 and x not in toxicity.NEGATIONS else x for x in re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", part)]
+        weight = lambda x: max([words.get(x, 0.0), *(stems.get(x[:n], 0.0) for n in toxicity.STEMS if len(x) > n)])  # noqa: E731, B023
+        langs = {k for x in found if not weight(x) and x not in toxicity.NEGATIONS and x not in toxicity.REPORTS for k, v in toxicity.TARGETS.items() if x in v.split()}
+        since, reported, hit = 99, False, {}
+        for x in found:
+            since += 1
+            if weight(x):
+                kind = "negated" if since <= 2 else "reported" if reported else "targeted" if langs else "plain"
+                hit[kind] = hit.get(kind, 0.0) + weight(x)
+            elif x in toxicity.REPORTS:
+                reported = True
+            elif x in toxicity.NEGATIONS:
+                since = 0
+            elif x in anchors and since > 2 and not reported and any(x in toxicity.THREATS[k].split() for k in langs):
+                hit["threat"] = hit.get("threat", 0.0) + 1
+        for k, v in hit.items():
+            total[k] += v
+    x = [np.log1p(total[p]) for p in toxicity.PATTERNS] + [float(any(total.values())), 1.0]
+    return 1 / (1 + np.exp(-np.clip(np.dot(x, w), -30, 30)))
+
+
+def test_toxicity_against_a_plain_rescoring(spark):
+    from conftest import SF
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    grammar, w = toxicity.fit_toxicity(docs, labels)
+    rng = random.Random(6)
+    words = [*list(grammar.words)[:5], "kill", "tuer", "not", "said", "you", "du", "te", "l'idee", "calm", "Don\u2019t", "her", "."]
+    extra = [(10**6 + k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))) for k in range(200)] + [(2 * 10**6, None), (2 * 10**6, "")]
+    rows = docs.select("doc_id", "text").unionAll(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = toxicity.score_toxicity(rows, labels).select("doc_id", "score").collect()
+    want = sorted((r["doc_id"], plain_toxicity(r["text"], grammar.words, grammar.stems, w)) for r in rows.collect())
+    assert [i for i, _ in want] == sorted(r["doc_id"] for r in got)
+    assert np.allclose([v for _, v in want], [s for _, s in sorted((r["doc_id"], r["score"]) for r in got)])
+
+
+def plain_stats(text):
+    raw = (text or "").encode()
+    words = [lower(x) for x in WORD.findall(text or "")]
+    share = lambda chars: sum(c in chars for c in raw) / max(1, len(raw))
+    n, odd = max(1, len(words)), b"*$%#&^~@<>{}[]\\=_+!"
+    run = longest = 0
+    for a, b in zip(words, words[1:], strict=False):
+        run = run + 1 if a == b else 0
+        longest = max(longest, run)
+    return {
+        "n_words": np.log1p(len(words)), "word_bytes": sum(c not in b" \t\r\n\x0b\x0c" for c in raw) / n, "upper": share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        "digit": share(b"0123456789"), "stop": share(b".?;:"), "comma": share(b","), "bang": share(b"!"), "bar": share(b"|"), "symbol": share(odd[:-1]),
+        "newline": share(b"\n"), "space": share(b" \t\r\n\x0b\x0c"), "high": sum(c >= 128 for c in raw) / max(1, len(raw)),
+        "symbol_runs": sum(a == b and a in odd for a, b in zip(raw, raw[1:], strict=False)) / n, "repeats": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        "distinct": len(set(words)) / n, "second_repeats": sum(a == b for a, b in zip(words, words[2:], strict=False)) / n,
+        "upper_words": sum(65 <= a <= 90 and 65 <= b <= 90 for a, b in zip(raw, raw[1:], strict=False)) / n, "top_run": np.log1p(longest),
+    }
+
+
+def test_quality_against_a_plain_rescoring(spark):
+    from conftest import SF
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    b, rules = quality.fit_quality(docs, labels)
+    extra = [(10**6 + k, t) for k, t in enumerate([None, "", "!!! $$ AB", "!!", "ABC", "CD ab ab ab AB\n", "é!", "!é", " \t"])]
+    rows = docs.select("doc_id", "text").unionAll(spark.createDataFrame(extra, "doc_id long, text string").coalesce(1))
+    want = {}
+    for r in rows.collect():
+        x = plain_stats(r["text"])
+        f = b + sum(v for v, rule in rules if all((x[quality.STATS[k]] > edge) == above for k, edge, above in rule))
+        want[r["doc_id"]] = 1 / (1 + np.exp(-f))
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(rows, labels).collect()}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
 

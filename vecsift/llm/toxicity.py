@@ -1,10 +1,17 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Word transducers tag the words of a clause: insults (a lexicon of whole words and of word beginnings, learnt from the labelled rows with a
-weight each), threats, targets, negations and reported speech (fixed word lists). Their tags run through one composed automaton, whose
-state remembers what the clause has said so far; its final output names the clause's pattern (plain, targeted, negated, reported, threat)
-and the summed weights of its insults. Pattern weights are fitted by logistic regression on the clauses of labelled rows, so an isolated
-tag has no score of its own. An Aho-Corasick automaton finds the clauses that hold any anchor; all other text costs one scan.
+The words of a clause pass a cascade of transducers, composed into one machine whose states and arcs are made when they are first met:
+
+* the lexicon reads a word and writes a symbol with a weight: insults (whole words and word beginnings, learnt from the labelled rows with
+  a weight each), threats and targets (fixed words by language), negations, words of reporting, other words;
+* negation rewrites insults and threats within two words after a negation;
+* reported speech rewrites those that follow a word of reporting;
+* target and threat remember the languages of the targets and threats met, since a target may come after what is said against it.
+
+What the machine writes, and the state in which the clause ends, give the clause's weights by pattern: insults plain, targeted, negated or
+reported, and threats against a target of their language. Pattern weights are fitted by logistic regression on the clauses of labelled
+rows, so an isolated symbol has no score of its own. An Aho-Corasick automaton finds the clauses that hold any anchor; all other text
+costs one scan.
 
 The fit reads at most `MOST_LABELLED` labelled rows (those with the smallest hashes of their ids); scoring covers whole texts.
 """
@@ -27,25 +34,96 @@ MOST_ENTRIES = 1000  # of the learnt lexicon
 LEAST_ROWS, LEAST_SHARE = 4, 0.8
 STEMS = (4, 5, 6)
 
-# Fixed word lists (en, fr, de, es).
-THREATS = "kill murder destroy hurt tuer frapper toten schlagen matar golpear".split()
-TARGETS = "you your he she they them him her tu toi vous ils elle elles du dich ihr sie er usted ellos ellas".split()
-NEGATIONS = "not never no isn't aren't don't pas jamais nicht kein keine nie nunca".split()
+# Fixed word lists.
+THREATS = {"en": "kill murder destroy hurt", "fr": "tuer frapper", "de": "töten toten schlagen", "es": "matar golpear"}
+TARGETS = {"en": "you your he she they them him her", "fr": "tu te toi vous ils il elle elles", "de": "du dich dir ihr sie er euch", "es": "tú tu te usted ustedes ellos ellas él"}
+NEGATIONS = "not never no isn't aren't wasn't weren't don't doesn't didn't won't can't cannot pas jamais nicht kein keine keinen nie nunca".split()
 REPORTS = "said says wrote quoted claimed dit dite sagte sagt dijo dice".split()
+NEGATION_REACH = 2
 
 PATTERNS = ["plain", "targeted", "negated", "reported", "threat"]
 _CLAUSE = re.compile(r"[.!?;:\n|]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 
+class Transducer:
+    """Deterministic: arc(state, symbol) -> (next state, symbol written, weight). Arcs are kept once they have been made."""
+
+    def __init__(self, start, arc):
+        self.start, self._make, self._arcs = start, arc, {}
+
+    def arc(self, state, symbol):
+        found = self._arcs.get((state, symbol))
+        if found is None:
+            found = self._arcs[state, symbol] = self._make(state, symbol)
+        return found
+
+    def __matmul__(self, other: Transducer) -> Transducer:
+        """The composition: what self writes, other reads; weights multiply."""
+
+        def arc(state, symbol):
+            p, written, w = self.arc(state[0], symbol)
+            q, out, v = other.arc(state[1], written)
+            return (p, q), out, w * v
+
+        return Transducer((self.start, other.start), arc)
+
+    def run(self, symbols):
+        """(last state, [(symbol written, weight)])"""
+        state, out = self.start, []
+        for symbol, weight in symbols:
+            state, written, w = self.arc(state, symbol)
+            out.append((written, weight * w))
+        return state, out
+
+
+def _negation(state, symbol):
+    """state: words that a negation still reaches."""
+    left = max(0, state - 1)
+    if symbol == ("negation",):
+        return NEGATION_REACH, symbol, 1.0
+    if state and symbol[0] in ("insult", "threat"):
+        return left, ("negated", symbol[0]), 1.0
+    return left, symbol, 1.0
+
+
+def _reported(state, symbol):
+    """state: whether a word of reporting has come."""
+    if symbol == ("report",):
+        return True, symbol, 1.0
+    if state and symbol[0] in ("insult", "threat"):
+        return True, ("reported", symbol[0]), 1.0
+    return state, symbol, 1.0
+
+
+def _remember(kind):
+    """state: the languages of the symbols of that kind met so far."""
+
+    def arc(state, symbol):
+        return state | frozenset(symbol[1]) if symbol[0] == kind else state, symbol, 1.0
+
+    return arc
+
+
+def machine() -> Transducer:
+    """negation, reported speech, target and threat, composed."""
+    none = frozenset()
+    return Transducer(0, _negation) @ Transducer(False, _reported) @ Transducer(none, _remember("target")) @ Transducer(none, _remember("threat"))
+
+
 class Grammar:
-    """The composed transducers. State: (reported, words since a negation, target seen, threat seen)."""
+    """The lexicon and the composed machine."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words, self.stems = words, stems
-        self.tags: dict[str, str] = {}
-        for tag, listed in (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS), ("threat", THREATS)):
-            self.tags |= dict.fromkeys(listed, tag)
+        self.symbols: dict[str, tuple] = dict.fromkeys(REPORTS, ("report",)) | dict.fromkeys(NEGATIONS, ("negation",))
+        for kind, listed in (("target", TARGETS), ("threat", THREATS)):
+            langs: dict[str, list] = {}
+            for lang, line in listed.items():
+                for w in line.split():
+                    langs.setdefault(w, []).append(lang)
+            self.symbols |= {w: (kind, tuple(v)) for w, v in langs.items()}
+        self.machine = machine()
         self._found = None
 
     def __getstate__(self):
@@ -60,7 +138,7 @@ class Grammar:
             import ahocorasick
 
             self._found = ahocorasick.Automaton()
-            for w in {*self.words, *self.stems, *THREATS}:
+            for w in {*self.words, *self.stems, *" ".join(THREATS.values()).split()}:
                 self._found.add_word(w, len(w))
             self._found.make_automaton()
         return self._found
@@ -71,38 +149,38 @@ class Grammar:
             found = max(found, self.stems.get(word[:n], 0.0)) if len(word) > n else found
         return found
 
-    def clause(self, text: str) -> tuple[str, float] | None:
-        """The pattern of one lower-cased clause and its weight; None where nothing is said against anyone."""
-        reported = target = threat = False
-        since = 9
-        weight, kind = 0.0, ""
-        for m in _WORD.finditer(text):
-            w = m.group()
-            since += 1
-            tag = self.tags.get(w)
-            insult = self.insult(w)
-            if insult:
-                weight += insult
-                kind = "negated" if since <= 2 and kind in ("", "negated") else "reported" if reported and kind in ("", "reported") else "plain"
-            elif tag == "report":
-                reported = True
-            elif tag == "negation":
-                since = 0
-            elif tag == "target":
-                target = True
-            elif tag == "threat" and since > 2:
-                threat = True
-        if not weight:
-            return ("threat", 1.0) if threat and target and not reported else None
-        if kind == "plain" and target:
-            kind = "targeted"
-        return kind, weight
+    def read(self, word: str) -> tuple[tuple, float]:
+        """The lexicon's arc: (symbol, weight). A short elided word before an apostrophe (l', qu') is left out."""
+        for w in (word, word[word.find("'") + 1 :]) if 0 < word.find("'") <= 2 else (word,):
+            weight = self.insult(w)
+            if weight:
+                return ("insult",), weight
+            if w in self.symbols:
+                return self.symbols[w], 1.0
+        return ("word",), 1.0
+
+    def clause(self, text: str) -> dict[str, float]:
+        """Weights by pattern of one lower-cased clause; empty where nothing is said against anyone."""
+        state, out = self.machine.run(self.read(m.group()) for m in _WORD.finditer(text))
+        (_, targets), threats = state
+        found: dict[str, float] = {}
+        for symbol, weight in out:
+            if symbol[0] == "insult":
+                pattern = "targeted" if targets else "plain"
+            elif symbol[-1] == "insult":
+                pattern = symbol[0]
+            else:
+                continue
+            found[pattern] = found.get(pattern, 0.0) + weight
+        hits = sum(1.0 for symbol, _ in out if symbol[0] == "threat" and targets & frozenset(symbol[1]))
+        return found | ({"threat": hits} if threats and hits else {})
 
     def clauses(self, text: str):
-        """(start, end, pattern, weight) of the clauses that match, found from the anchors."""
+        """(start, end, {pattern: weight}) of the clauses that match, found from the anchors."""
         low = text.lower()
         if len(low) != len(text):  # a few letters grow in lower case: keep the places
             low = "".join(c if len(d := c.lower()) != 1 else d for c in text)
+        low = low.replace("\u2019", "'")
         done = 0
         for last, n in self.anchors.iter(low):
             a = last - n + 1
@@ -113,19 +191,24 @@ class Grammar:
             start = max([done, *(low.rfind(c, done, a) + 1 for c in ".!?;:\n|")])
             found = self.clause(low[start:end])
             if found:
-                yield start, end, *found
+                yield start, end, found
             done = end
 
-    def describe(self, text: str | None) -> list[float]:
+    def features(self, hits) -> list[float]:
         """Sums of clause weights by pattern, damped, and whether there is any."""
         total = dict.fromkeys(PATTERNS, 0.0)
-        for _, _, kind, weight in self.clauses(text or ""):
-            total[kind] += weight
+        for _, _, found in hits:
+            for kind, weight in found.items():
+                total[kind] += weight
         return [math.log1p(total[p]) for p in PATTERNS] + [float(any(total.values()))]
 
+    def describe(self, text: str | None) -> list[float]:
+        return self.features(self.clauses(text or ""))
+
 
 def _tokens(text: str) -> set[str]:
-    words = {w.lower() for w in _WORD.findall(text)}
+    words = {w.lower() for w in _WORD.findall(text.replace("\u2019", "'"))}
+    words |= {w[w.find("'") + 1 :] for w in words if 0 < w.find("'") <= 2}
     return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
 
 
@@ -223,12 +306,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 scores, found = [], []
                 for t in part.column("body").to_pylist():
                     hits = list(grammar.clauses(t or ""))
-                    total = dict.fromkeys(PATTERNS, 0.0)
-                    for _, _, kind, weight in hits:
-                        total[kind] += weight
-                    x = [math.log1p(total[p]) for p in PATTERNS] + [float(bool(hits)), 1.0]
+                    x = [*grammar.features(hits), 1.0]
                     scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, sum(p * q for p, q in zip(x, w, strict=True)))))))
-                    found.append([f"{a}:{e}:{kind}:{weight:.3f}" for a, e, kind, weight in hits])
+                    found.append([f"{a}:{e}:{kind}:{weight:.3f}" for a, e, by in hits for kind, weight in by.items()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "score", "clauses"])
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("body")).mapInArrow(run, "doc_id long, score double, clauses array<string>")
