@@ -347,6 +347,68 @@ def test_mixing_targets_and_totals(spark, docs, nothing):
     assert mixing.mix_sources(spark, nothing).count() == 0 and mixing.mixed_documents(spark, nothing).count() == 0
 
 
+@pytest.mark.parametrize("most_sources", [100_000, 0], ids=["driver", "executors"])
+def test_mixing_against_a_replay_of_the_slots(spark, docs, most_sources):
+    """Word by word: the streams are laid out in plain Python, and each slot's block is walked."""
+    block, size = 16, {r[0]: len(WORD.findall(r[1] or "")) for r in corpus()}
+    salt = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(mixing.SALTS))).collect()}
+    by = {}
+    for r in corpus():
+        by.setdefault(r[3], []).append(r[0])
+    names = sorted([s for s in by if s is not None]) + [None]
+    sizes = [sum(size[i] for i in by[s]) for s in names]
+    taken = Counter()
+    for k, (name, goal) in enumerate(zip(names, mixing.targets(sizes), strict=True)):
+        stream = [i for i in sorted(by[name], key=lambda i: (salt[i], i)) for _ in range(size[i])]
+        blocks = -(-len(stream) // block)
+        slots, last = mixing.slots_for(round(goal), len(stream), k, block)
+        for slot in range(slots):
+            at = int(mixing.feistel(np.array([slot % blocks]), blocks, mixing.slot_key([k], [slot // blocks]))[0])
+            taken.update(stream[at * block : (at + 1) * block][: last if slot == slots - 1 else block])
+    got = mixing.mix_sources(spark, docs, block=block, most_sources=most_sources).collect()
+    assert {r["doc_id"]: r["taken"] for r in got} == {i: taken[i] for i in size}
+    filled = {}
+    for r in got:
+        places = [tuple(map(int, p.split(":"))) for p in r["places"].split(",") if p]
+        assert sum(hi - lo for *_, lo, hi in places) == r["taken"]
+        for shard, slot, lo, hi in places:
+            filled.setdefault((by_of(by, r["doc_id"]), slot), []).append((shard, hi - lo))
+    assert all(len({shard for shard, _ in v}) == 1 and sum(n for _, n in v) <= block for v in filled.values())
+    per = Counter(v[0][0] for v in filled.values())
+    assert max(per.values()) - min(per.values()) <= 1 or most_sources == 0 and max(per.values()) <= -(-len(filled) // mixing.SHARDS)
+
+
+def by_of(by, i):
+    return next(s for s, ids in by.items() if i in ids)
+
+
+def test_mixing_of_many_sources_is_planned_alike(spark):
+    rng = random.Random(7)
+    rows = [(k, "w " * rng.randint(0, 60), rng.choice([None, *(f"s{j:03}" for j in range(150))])) for k in range(600)] + [(9, "w w", "s001"), (9, "v v", "s001"), (None, "u", "s002")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    sets = [sorted(map(tuple, mixing.mix_sources(spark, d, block=8, most_sources=n).drop("places").fillna(-1).collect())) for d, n in ((df, 1000), (df, 10), (df.repartition(7), 1000))]
+    assert sets[0] == sets[1] == sets[2] and len(sets[0]) == len(rows)
+    texts = [sorted(str(tuple(r)) for r in mixing.mixed_documents(spark, d, block=8).collect()) for d in (df, df.repartition(7))]
+    assert texts[0] == texts[1]
+
+
+def test_stages_take_any_column_names(spark, tmp_path):
+    """Columns called like the operators' own, repeated ids, null ids and null texts."""
+    names = ["__sha", "__row", "__run", "__runs", "__n_words", "n_words", "row", "doc", "body", "h", "sha", "bucket", "owner", "keep_id", "group_size", "tie", "n", "fp", "rep", "id", "label", "__own", "score"]
+    rows = [(i, t, "s", 3, *[k] * len(names)) for k, (i, t) in enumerate([(1, "a b c"), (2, "a b c"), (2, "d e f g"), (None, "d e f g"), (None, None), (5, ""), (6, "a b c d e f g"), (6, "a b c d e f g")])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{n}` long" for n in names))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    own = lambda df: sorted(map(str, df.select("doc_id", "text", *[F.col(f"`{n}`") for n in names]).collect()))
+    every = own(d)
+    for step in (lambda: quality.keep_good(spark, d, str(tmp_path)), lambda: exact_dedup.keep_one(spark, d), lambda: exact_dedup.keep_one(spark, d, most_broadcast=0), lambda: jaccard_join.keep_one(spark, d), lambda: mixing.mixed_documents(spark, d)):
+        out = step()
+        assert out.columns == d.columns and set(own(out)) <= set(every)
+    # of the equal texts the largest id stays, twice where the same record repeats
+    assert sorted((r["doc_id"], r["text"]) for r in exact_dedup.keep_one(spark, d).where("doc_id IS NOT NULL").collect()) == [(2, "a b c"), (2, "d e f g"), (5, ""), (6, "a b c d e f g"), (6, "a b c d e f g")]
+    for f in (lambda: jaccard_join.jaccard_classes(spark, d), lambda: mixing.mix_sources(spark, d), lambda: pii.find_personal_data(d), lambda: exact_dedup.exact_dedup(spark, d), lambda: suffix_dedup.remove_repeats(spark, d), lambda: licenses.scan_licences(d), lambda: packing.pack_documents(spark, d)):
+        f().collect()
+
+
 def test_mixing_pieces():
     assert mixing.targets([100, 10, 10]) == pytest.approx([75, 30, 15])
     assert mixing.targets([1000, 1, 1]) == pytest.approx([996, 3, 3]) and mixing.targets([0, 5]) == pytest.approx([0, 5])

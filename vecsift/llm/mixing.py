@@ -4,7 +4,11 @@ Each source is one stream of words (its documents in a fixed order), cut into bl
 one block each, dealt to output shards. Every shard draws its counts of slots by source from a multinomial with the targets as weights;
 the last of the shards' running totals are set right, so each source fills exactly the slots its target asks for. Slot k of a source takes
 the block P_e(k mod n) in round e = k div n, where P_e is a pseudorandom permutation of the source's n blocks (a keyed Feistel network
-walked back into range): within a round no block repeats. Blocks and slots are joined by their index.
+walked back into range): within a round no block repeats. Blocks and slots are joined by their index, and each piece of a document says
+which shard and slot it fills.
+
+With more than MOST_SOURCES sources the same plan is made on executors: targets by rounds of sums, and the shards' counts by one keyed
+permutation of all slots cut into equal parts, which is the multinomial draw conditioned on the totals.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ MOST_ROUNDS = 3
 SEED = 17
 SALTS = 256  # pieces that a source's prefix sums are cut into, so that a source with a third of all rows is no single task
 SHARDS = 64
-MOST_SOURCES = 100_000  # of which the driver solves the targets; more are an error rather than a silent cut
+MOST_SOURCES = 100_000  # planned on the driver; more are planned on executors
+SLOT_RUN = 100_000  # slots that one task makes at once
+
 
 def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long"), F.lit(0).cast("long"))
@@ -43,7 +49,8 @@ def targets(sizes: list[int], weights=WEIGHTS, most: int = MOST_ROUNDS) -> list[
         for k in over:
             out[k] = float(most * sizes[k])
             total -= out[k]
-        left = [k for k in left if k not in set(over)]
+        gone = set(over)
+        left = [k for k in left if k not in gone]
     return out
 
 
@@ -146,30 +153,97 @@ def _deal(counts: np.ndarray, blocks: np.ndarray):
     return run
 
 
-def plan_mix(spark: SparkSession, sized: DataFrame, block: int = BLOCK, weights=WEIGHTS, shards: int = SHARDS):
-    """sized: row, doc_id, source, size; a source's stream is in the hashed order of its ids, however the rows lie -> (per source: source_no, source_size, target; pieces: row, size, lo, hi, source_no, round, slot, words).
-
-    A piece says that round `round` of the mix takes words lo..hi-1 of the row (0-based, end exclusive).
-    """
-    key = [F.col("source").isNull().alias("s_null"), F.coalesce("source", F.lit("")).alias("s_name")]
-    sized = sized.select("row", "doc_id", "size", *key)
-    per = sized.groupBy("s_null", "s_name").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).orderBy("s_null", "s_name")
-    found = per.limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+def _plan_here(spark: SparkSession, found, block: int, weights, shards: int):
+    """(per source: source_no, s_null, s_name, source_size, target, last_slot, last_words; slots: shard, source_no, slot, round, index)"""
     sizes = [r["source_size"] for r in found]
     goal = targets(sizes, weights)
     plan = [slots_for(int(math.floor(t + 0.5)), s, k, block) for k, (t, s) in enumerate(zip(goal, sizes, strict=True))]
     counts = shard_counts([p[0] for p in plan], shards)
     blocks = np.array([max(1, -(-s // block)) for s in sizes], np.int64)
     table = spark.createDataFrame([(k, r["s_null"], r["s_name"], r["source_size"], goal[k], plan[k][0] - 1, plan[k][1]) for k, r in enumerate(found)], "source_no long, s_null boolean, s_name string, source_size long, target double, last_slot long, last_words long")
-    slots = spark.range(int(counts.sum())).mapInArrow(_deal(counts, blocks), "shard long, source_no long, slot long, round long, index long")
+    return table, spark.range(int(counts.sum())).mapInArrow(_deal(counts, blocks), "shard long, source_no long, slot long, round long, index long")
+
+
+def numbered(spark: SparkSession, rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their place in the order, from 0: ranges are sorted where they lie and numbered from the sizes of those before."""
+    parts = max(2 * spark.sparkContext.defaultParallelism, 1)
+    dealt = stage(spark, rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "ranges")
+    sums = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
+    return dealt.join(F.broadcast(sums.select("part", "before")), "part").withColumn(name, F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1 + F.col("before")).drop("part", "at", "before")
+
+
+def _plan_there(spark: SparkSession, per: DataFrame, block: int, weights, shards: int):
+    """As _plan_here, without a row of it on the driver."""
+    import pyarrow as pa
+
+    rows = numbered(spark, per, ["s_null", "s_name"], "source_no")
+    rows = stage(spark, rows.withColumn("w", F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_no") % len(weights)).cast("int"))), "sources")
+    total = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    most = F.col("source_size") * MOST_ROUNDS
+    unit, before = 0.0, -1
+    while True:  # the unit only grows, and each round but the last finds a source that it fills
+        full = (F.col("w") * unit > most) | (F.col("source_size") == 0)
+        filled, gone, rest = rows.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, most)), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0))).first()
+        if filled == before or not rest:
+            break
+        unit, before = float(total - gone) / rest, filled
+    rows = rows.withColumn("target", F.when(full, most.cast("double")).otherwise(F.col("w") * unit))
+
+    def solve(batches):
+        for b in batches:
+            number, size, goal = (b.column(c).to_pylist() for c in ("source_no", "source_size", "target"))
+            plan = [slots_for(int(math.floor(t + 0.5)), s, k, block) for k, s, t in zip(number, size, goal, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p[0] for p in plan], pa.int64()), pa.array([p[1] for p in plan], pa.int64())], [*b.schema.names, "n_slots", "last_words"])
+
+    solved = rows.select("source_no", "s_null", "s_name", "source_size", "target").mapInArrow(solve, "source_no long, s_null boolean, s_name string, source_size long, target double, n_slots long, last_words long")
+    solved = stage(spark, solved, "planned")
+    n = solved.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
+    # where each source's slots begin among all, by the same numbering of runs of sources
+    runs = solved.withColumn("run", F.expr("source_no div 1000")).groupBy("run").agg(F.sum("n_slots").alias("slots"))
+    runs = runs.withColumn("lot", F.expr("run div 1000"))
+    lots = runs.groupBy("lot").agg(F.sum("slots").alias("slots")).withColumn("l_base", F.coalesce(F.sum("slots").over(Window.orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per million sources
+    runs = runs.join(lots.select("lot", "l_base"), "lot").withColumn("r_base", F.col("l_base") + F.coalesce(F.sum("slots").over(Window.partitionBy("lot").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    based = solved.withColumn("run", F.expr("source_no div 1000")).join(runs.select("run", "r_base"), "run")
+    based = based.withColumn("base", F.col("r_base") + F.coalesce(F.sum("n_slots").over(Window.partitionBy("run").orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    part = based.where("n_slots > 0").select("source_no", "source_size", "base", "n_slots", F.explode(F.expr(f"sequence(0, (n_slots - 1) div {SLOT_RUN})")).alias("first"))
+    part = part.repartition("source_no", "first").select("source_no", "source_size", "base", F.explode(F.expr(f"sequence(first * {SLOT_RUN}, least(n_slots, (first + 1) * {SLOT_RUN}) - 1)")).alias("slot"))
+    each = max(1, -(-n // shards))
+
+    def deal(batches):
+        for b in batches:
+            source, size, base, slot = (b.column(c).to_numpy() for c in ("source_no", "source_size", "base", "slot"))
+            blocks = -(-size // block)
+            rounds = slot // blocks
+            index = feistel(slot % blocks, blocks, slot_key(source, rounds))
+            shard = feistel(base + slot, np.full(len(slot), n), np.full(len(slot), SEED)) // each
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (shard, source, slot, rounds, index)], ["shard", "source_no", "slot", "round", "index"])
+
+    table = solved.select("source_no", "s_null", "s_name", "source_size", "target", (F.col("n_slots") - 1).alias("last_slot"), "last_words")
+    return table, part.mapInArrow(deal, "shard long, source_no long, slot long, round long, index long")
+
+
+def plan_mix(spark: SparkSession, sized: DataFrame, block: int = BLOCK, weights=WEIGHTS, shards: int = SHARDS, most_sources: int = MOST_SOURCES):
+    """sized: row, doc_id, source, size, tie; a source's stream is in the hashed order of its ids, then by size and tie, however the rows
+    lie -> (per source: s_null, s_name, source_size, target; pieces: row, shard, slot, round, lo, hi).
+
+    A piece says that a slot of a shard, in round `round` of its source, takes words lo..hi-1 of the row (0-based, end exclusive).
+    """
+    key = [F.col("source").isNull().alias("s_null"), F.coalesce("source", F.lit("")).alias("s_name")]
+    sized = sized.select("row", "doc_id", "size", "tie", *key)
+    per = stage(spark, sized.groupBy("s_null", "s_name").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources")
+    n_sources, n_rows = per.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    few = n_sources <= most_sources
+    if few:
+        table, slots = _plan_here(spark, per.orderBy("s_null", "s_name").collect(), block, weights, shards)
+    else:
+        table, slots = _plan_there(spark, per.drop("n"), block, weights, shards)
 
     # where each row stands in its source: sums of SALTS pieces, then within the piece
-    salts = max(SALTS, -(-sum(r["n"] for r in found) // 1_000_000))
-    placed = sized.join(F.broadcast(table), ["s_null", "s_name"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    salts = max(SALTS, -(-n_rows // 1_000_000))
+    sent = F.broadcast(table) if few else table
+    placed = sized.join(sent, ["s_null", "s_name"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     base = placed.groupBy("source_no", "salt").agg(F.sum("size").alias("words")).withColumn("base", F.sum("words").over(Window.partitionBy("source_no").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
-    at = F.coalesce(F.sum("size").over(Window.partitionBy("source_no", "salt").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.coalesce(F.sum("size").over(Window.partitionBy("source_no", "salt").orderBy("doc_id", "size", "tie", "row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = placed.withColumn("at", at).join(base.select("source_no", "salt", F.coalesce("base", F.lit(0)).alias("base")), ["source_no", "salt"]).withColumn("start", F.col("base") + F.col("at"))
     cut = placed.where("size > 0").select("row", "size", "start", "source_no", "last_slot", "last_words", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("index"))
     joined = cut.join(slots, ["source_no", "index"])
@@ -179,35 +253,39 @@ def plan_mix(spark: SparkSession, sized: DataFrame, block: int = BLOCK, weights=
     return table, pieces
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, block: int = BLOCK, weights=WEIGHTS) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken.
+def mix_sources(spark: SparkSession, docs: DataFrame, block: int = BLOCK, weights=WEIGHTS, most_sources: int = MOST_SOURCES) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken, places (its pieces by shard: shard, slot, first and last word).
 
-    A null text has size 0; a null source is a source of its own and the last. Rows without words take 0. Repeated rows are rows of their
-    own. Texts of any length are cut into blocks; extra columns are not read. An empty table gives an empty result.
+    A null text has size 0; a null source is a source of its own and the last. Rows without words take 0 and have no places. Repeated rows
+    are rows of their own. Texts of any length are cut into blocks; extra columns are not read. An empty table gives an empty result.
     """
-    sized = docs.select("doc_id", "source", word_count("text").alias("size")).withColumn("row", F.monotonically_increasing_id())
+    sized = docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("tie")).withColumn("row", F.monotonically_increasing_id())
     sized = stage(spark, sized, "sized")
-    table, pieces = plan_mix(spark, sized, block, weights)
-    taken = pieces.groupBy("row").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
-    named = sized.withColumn("s_null", F.col("source").isNull()).withColumn("s_name", F.coalesce("source", F.lit(""))).join(F.broadcast(table), ["s_null", "s_name"])
-    return named.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    table, pieces = plan_mix(spark, sized, block, weights, most_sources=most_sources)
+    place = F.struct("shard", "source_no", "slot", "lo", "hi")
+    taken = pieces.groupBy("row").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"), F.sort_array(F.collect_list(place)).alias("places"))
+    named = sized.withColumn("s_null", F.col("source").isNull()).withColumn("s_name", F.coalesce("source", F.lit("")))
+    named = named.join(table.select("s_null", "s_name", "source_size", "target"), ["s_null", "s_name"])
+    said = F.array_join(F.transform("places", lambda p: F.concat_ws(":", p["shard"], p["slot"], p["lo"], p["hi"])), ",")
+    return named.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce(said, F.lit("")).alias("places"))
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK, weights=WEIGHTS) -> DataFrame:
-    """The mix itself with the columns of docs (the pipeline's stage): for each round the runs of words taken from a row, as rows.
+    """The mix itself with the columns of docs, whatever their names (the pipeline's stage): for each round the runs of words taken from a
+    row, as rows.
 
-    A run that covers its text stays as it is; any other is the text from its first to its last word, with n_chars set anew. Rows without
-    words are not part of a mix.
+    A run that covers its text stays as it is; any other is the text from its first to its last word, with n_chars set anew. Runs of
+    neighbouring blocks stay one document, whichever shards their slots are in. Rows without words are not part of a mix.
     """
     import pyarrow as pa
 
     names = docs.columns
-    rows = stage(spark, docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    sized = rows.select(F.col("__row").alias("row"), "doc_id", "source", word_count("text").alias("size"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    rows = stage(spark, rows, "numbered")
+    sized = rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), word_count("doc.text").alias("size"), F.xxhash64("doc.text").alias("tie"))
     _, pieces = plan_mix(spark, sized, block, weights)
-    runs = pieces.groupBy(F.col("row").alias("__run")).agg(F.sort_array(F.collect_list(F.struct("round", "lo", "hi"))).alias("__runs"))
-    joined = rows.join(runs, F.col("__row") == F.col("__run")).select(*names, "__runs")
-    place = names.index("text")
+    runs = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("round", "lo", "hi"))).alias("runs"))
+    joined = rows.join(runs, "row").select("doc", F.col("doc.text").alias("body"), "runs")
 
     def run(batches):
         import re
@@ -215,7 +293,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK, we
         word = re.compile("[^\x20\x09-\x0D]+")
         for b in batches:
             index, texts = [], []
-            for k, (text, spans) in enumerate(zip(b.column(place).to_pylist(), b.column(len(names)).to_pylist(), strict=True)):
+            for k, (text, spans) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 merged: list[list[int]] = []
                 for s in spans:
                     if merged and merged[-1][0] == s["round"] and merged[-1][2] == s["lo"]:
@@ -227,13 +305,11 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK, we
                     ends = ends or [m.span() for m in word.finditer(text)]
                     index.append(k)
                     texts.append(text if (lo, hi) == (0, len(ends)) else text[ends[lo][0] : ends[hi - 1][1]])
-            part = b.take(pa.array(index, pa.int64()))
-            columns = [pa.array(texts, pa.string()) if k == place else part.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(index, pa.int64())), pa.array(texts, pa.string())], ["doc", "body"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = joined.mapInArrow(tidy(run), schema)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else out
+    out = joined.mapInArrow(tidy(run), f"doc {rows.schema['doc'].dataType.simpleString()}, body string")
+    new = {"text": F.col("body").alias("text"), "n_chars": F.length("body").cast("long").alias("n_chars")}
+    return out.select(*[new.get(c, F.col(f"doc.`{c}`")) for c in names])
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
