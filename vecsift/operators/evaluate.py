@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pairs import camera_keep, ranked
+from .sweep import running
 
 
 def eligible(pairs: DataFrame, policy: str = "market", junk: DataFrame | None = None, exclude: DataFrame | None = None, same_frame: bool = False) -> DataFrame:
@@ -83,18 +84,37 @@ def confusion(events: DataFrame, positives: Column, threshold: float) -> DataFra
 
 
 def pr_curve(events: DataFrame, positives: int | Column) -> DataFrame:
-    """threshold, tp, fp, precision, recall at each distinct score, equal scores as one group; the area columns are per step.
-
-    The cumulation runs over distinct scores, after the groups are counted, so its single ordered window sees one row per score."""
+    """threshold, tp, fp, precision, recall at each distinct score, equal scores as one group; the area columns are per step."""
     pos = F.lit(positives) if isinstance(positives, int) else positives
     g = events.where("score IS NOT NULL").groupBy("score").agg(F.count_if(F.expr("correct")).alias("t"), F.count_if(~F.col("correct")).alias("f"))
-    w = Window.orderBy(F.desc("score"))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    c = g.select(F.col("score").alias("threshold"), F.sum("t").over(run).alias("tp"), F.sum("f").over(run).alias("fp"))
+    c = running(g.select(F.col("score").alias("threshold"), "t", "f", F.col("t").alias("tp"), F.col("f").alias("fp")), "threshold", ["tp", "fp"])
     c = c.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide(F.col("tp"), pos))
-    w = Window.orderBy(F.desc("threshold"))
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))
-    return c.withColumn("step_area", step * F.col("precision")).withColumn("trapezoid_area", step * (F.col("precision") + F.coalesce(F.lag("precision").over(w), F.lit(1.0))) / 2)
+    tp, fp = F.col("tp") - F.col("t"), F.col("fp") - F.col("f")  # at the score before
+    step = F.col("recall") - F.coalesce(F.try_divide(tp, pos), F.lit(0.0))
+    before = F.coalesce(F.try_divide(tp, tp + fp), F.lit(1.0))
+    return c.withColumn("step_area", step * F.col("precision")).withColumn("trapezoid_area", step * (F.col("precision") + before) / 2).drop("t", "f")
+
+
+def poisoned_mean(x: Column) -> Column:
+    """The mean, or NULL where any value is: undefined for one is undefined for all."""
+    return F.when(F.count(F.lit(1)) == F.count(x), F.avg(x))
+
+
+def lifted_ap(ranking: DataFrame, k: int, reach: int) -> DataFrame:
+    """Per query with positives, what AP at k could become if its positives of ranks k+1 to reach were lifted: onto the lowest wrong
+    places of the first k (lift_min), onto the highest (lift_max), or all positives in front (ideal). Over all positives (_all) and over
+    min(positives, k) (_min)."""
+    h = hits(ranking).groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("rank") <= k, F.col("rank")))).alias("inside"), F.count_if((F.col("rank") > k) & (F.col("rank") <= reach)).alias("lifted"))
+    free = F.array_except(F.sequence(F.lit(1), F.lit(k)), F.transform("inside", lambda r: r.cast("int")))
+    m = F.least(F.col("lifted"), F.size(free)).cast("int")
+    slots = {"lift_min": F.slice(free, F.greatest(F.lit(1), F.size(free) - m + 1), m), "lift_max": F.slice(free, 1, m)}
+    out = h
+    for name, taken in slots.items():
+        new = F.array_sort(F.concat(F.transform("inside", lambda r: r.cast("int")), taken))
+        total = F.aggregate(F.transform(new, lambda r, i: (i + 1) / r), F.lit(0.0), lambda a, x: a + x)
+        out = out.withColumn(f"{name}_all", total / F.col("n")).withColumn(f"{name}_min", total / F.least("n", F.lit(k)))
+    ideal = F.least(F.lit(k), F.size("inside") + F.col("lifted"))
+    return out.withColumn("ideal_all", ideal / F.col("n")).withColumn("ideal_min", ideal / F.least("n", F.lit(k))).drop("inside")
 
 
 def curve_areas(curve: DataFrame) -> DataFrame:

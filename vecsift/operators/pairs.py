@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from . import guards
 
-BLOCK = 4096
+BLOCK, ASKED = 4096, 16_384  # gallery rows and queries of one product
 
 
 def protocol(spark: SparkSession, sf_dir: str, second: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -29,15 +29,22 @@ def _units(column) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
-def score_pairs(queries: DataFrame, gallery: DataFrame, k: int | None = None) -> DataFrame:
-    """(q, g, score) by cosine, all pairs or each block's k best per query (ties by key): Arrow blocks and one matrix product each."""
+def dealt(queries: DataFrame, gallery: DataFrame, columns: list[str]) -> DataFrame:
+    """key, columns, asks, b, c: every block of queries (c) meets every block of the gallery (b) once; neither side is held whole."""
+    n, m = max(1, math.ceil(gallery.count() / BLOCK)), max(1, math.ceil(queries.count() / ASKED))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    own = lambda k: F.pmod(F.xxhash64("key"), F.lit(k)).cast("int")
+    q = queries.select("key", *columns, F.lit(True).alias("asks"), own(m).alias("c")).withColumn("b", every(n))
+    g = gallery.select("key", *columns, F.lit(False).alias("asks"), own(n).alias("b")).withColumn("c", every(m))
+    return g.unionByName(q)
+
+
+def score_pairs(queries: DataFrame, gallery: DataFrame, k: int | None = None, least: float | None = None) -> DataFrame:
+    """(q, g, score) by cosine, all pairs, each block's k best per query (ties by key) or those of at least `least`: Arrow blocks and one
+    matrix product each; what is not asked for never leaves the product."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    n = max(1, math.ceil(gallery.count() / BLOCK))
-    q = queries.select("key", "v", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))  # to every block once: a block product
-    g = gallery.select("key", "v", F.lit(False).alias("asks"), F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("b"))
-
     def product(block):
         mine, asked = block.filter(pc.invert(block.column("asks"))), block.filter(block.column("asks"))
         if not len(mine) or not len(asked):
@@ -48,6 +55,10 @@ def score_pairs(queries: DataFrame, gallery: DataFrame, k: int | None = None) ->
         out = []
         for a in range(0, len(qk), 512):
             s = np.clip(qv[a : a + 512] @ gv.T, -1, 1)
+            if least is not None:
+                r, c = np.nonzero(s >= least)
+                out.append((qk[a + r], gk[c], s[r, c]))
+                continue
             if k and k < len(gk):
                 best = np.argsort(-s, 1, kind="stable")[:, :k]
             else:
@@ -55,25 +66,21 @@ def score_pairs(queries: DataFrame, gallery: DataFrame, k: int | None = None) ->
             out.append((np.repeat(qk[a : a + 512], best.shape[1]), gk[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
         return pa.table({n: pa.array(np.concatenate(c)) for n, c in zip(("q", "g", "score"), zip(*out, strict=True), strict=True)})
 
-    return g.unionByName(q).groupBy("b").applyInArrow(product, "q long, g long, score double")
+    return dealt(queries, gallery, ["v"]).groupBy("b", "c").applyInArrow(product, "q long, g long, score double")
 
 
 def by_blocks(queries: DataFrame, gallery: DataFrame, columns: list[str], product, schema: str) -> DataFrame:
-    """product(asked, mine), an Arrow table of the schema (long and double), of each gallery block (mine, by key) and all queries (asked)."""
+    """product(asked, mine), an Arrow table of the schema (long and double), of each gallery block (mine, by key) and block of queries."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    n = max(1, math.ceil(gallery.count() / BLOCK))
-    q = queries.select("key", *columns, F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
-    g = gallery.select("key", *columns, F.lit(False).alias("asks"), F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("b"))
-
     def run(block):
         mine, asked = block.filter(pc.invert(block.column("asks"))), block.filter(block.column("asks"))
         if not len(mine) or not len(asked):
             return pa.table({c: pa.array([], pa.int64() if kind == "long" else pa.float64()) for c, kind in (x.split() for x in schema.split(", "))})
         return product(asked, mine.sort_by("key"))
 
-    return g.unionByName(q).groupBy("b").applyInArrow(run, schema)
+    return dealt(queries, gallery, columns).groupBy("b", "c").applyInArrow(run, schema)
 
 
 def least_cosines(rows: DataFrame) -> DataFrame:
@@ -133,24 +140,44 @@ def camera_keep(policy: str) -> Column:
 
 def similarity_join(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b, sim), a < b, cosine >= threshold: block products of the rows with themselves."""
-    s = score_pairs(rows, rows)
-    return s.where((F.col("q") < F.col("g")) & (F.col("score") >= threshold)).select(F.col("q").alias("a"), F.col("g").alias("b"), F.col("score").alias("sim"))
+    s = score_pairs(rows, rows, least=threshold)
+    return s.where("q < g").select(F.col("q").alias("a"), F.col("g").alias("b"), F.col("score").alias("sim"))
 
 
 def band_join(left: DataFrame, right: DataFrame, columns: list[str], width: int, key: str = "key") -> DataFrame:
-    """(a, b) with |left.c - right.c| <= width in all columns. The first column is bucketed, so the join has a hash key:
-    a row meets the three buckets around its own, and the rest is a filter."""
-    first = columns[0]
-    bucket = F.floor(F.col(first) / F.lit(width)).cast("long")
-    l = left.select(F.col(key).alias("a"), *[F.col(c).alias(f"l_{c}") for c in columns], bucket.alias("bucket"))
-    r = right.select(F.col(key).alias("b"), *[F.col(c).alias(f"r_{c}") for c in columns], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    near = [F.abs(F.col(f"l_{c}") - F.col(f"r_{c}")) <= width for c in columns]
-    out = l.join(r, "bucket")
-    for n in near:
-        out = out.where(n)
+    """(a, b) with |left.c - right.c| <= width in all columns. The first two columns are bucketed, so the join has a hash key:
+    a row meets the buckets around its own, and the rest is a filter."""
+    keyed = columns[:2]
+    bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    l = left.select(F.col(key).alias("a"), *[F.col(c).alias(f"l_{c}") for c in columns], *[bucket(c).alias(f"bucket_{c}") for c in keyed])
+    r = right.select(F.col(key).alias("b"), *[F.col(c).alias(f"r_{c}") for c in columns])
+    for c in keyed:
+        near = F.floor(F.col(f"r_{c}") / F.lit(width)).cast("long")
+        r = r.withColumn(f"bucket_{c}", F.explode(F.array(near - 1, near, near + 1)))
+    out = l.join(r, [f"bucket_{c}" for c in keyed])
+    for c in columns:
+        out = out.where(F.abs(F.col(f"l_{c}") - F.col(f"r_{c}")) <= width)
     return out.select("a", "b")
 
 
+def iou_join(left: DataFrame, right: DataFrame, least: float, widest: float, tallest: float, key: str = "key") -> DataFrame:
+    """(a, b, iou) of boxes x, y, w, h with an intersection over union of at least `least`, whatever their corners.
+
+    Such boxes' corners differ by at most (1 - least) of the larger width and height (`widest` and `tallest` at most), and their widths by
+    the factor `least`: buckets of x, y and the logarithm of w are the hash key, and a box meets the buckets around its own.
+    """
+    dx, dy, ratio = max(1e-9, (1 - least) * widest), max(1e-9, (1 - least) * tallest), -math.log(least)
+    cells = {"i": lambda p: F.floor(F.col(f"{p}_x") / dx), "j": lambda p: F.floor(F.col(f"{p}_y") / dy), "k": lambda p: F.floor(F.log(F.col(f"{p}_w").cast("double")) / ratio)}
+    side = lambda df, p: df.where("w > 0 AND h > 0").select(F.col(key).alias(p), *[F.col(c).alias(f"{p}_{c}") for c in "xywh"])
+    l, r = side(left, "a"), side(right, "b")
+    for name, cell in cells.items():
+        l = l.withColumn(name, cell("a").cast("long"))
+        near = cell("b").cast("long")
+        r = r.withColumn(name, F.explode(F.array(near - 1, near, near + 1)))
+    box = lambda p: tuple(F.col(f"{p}_{c}") for c in "xywh")
+    return l.join(r, list(cells)).withColumn("iou", V.iou(box("a"), box("b"))).where(F.col("iou") >= least).select("a", "b", "iou")
+
+
 def neighbours(rows: DataFrame, k: int) -> DataFrame:
     """(a, b, sim, rank): each row's k nearest others."""
     s = score_pairs(rows, rows, k + 1).where("q <> g")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -12,44 +12,58 @@ from .graph import checkpointed
 from .pairs import _units, by_blocks, least_cosines, neighbours, ranked, score_pairs
 
 
-def local_distances(d: np.ndarray, k1: int, k2: int, lam: float) -> np.ndarray:
-    """d: distances of a small node set, node 0 the query -> blended distances of node 0 to all nodes.
-
-    Columns are scaled by their maxima (0 by 0 is 0); node i's reciprocal set is what it and its k1 nearest have of each other, grown by
-    the half-size sets of members that share over two thirds; weights exp(-d); averaged over the first k2; Jaccard by the sum of minima.
-    """
+def _orders(d: np.ndarray):
+    """(own scaled distances by row, order, the worse of the two places of each pair): what all parameters share."""
     n = len(d)
     top = d.max(0)
     o = (d / np.where(top > 0, top, 1.0)).T  # row i: node i's own scaled distances
     order = np.argsort(o, 1, kind="stable")
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.broadcast_to(np.arange(n), (n, n)), 1)
-    worst = np.maximum(place, place.T)
+    return o, order, np.maximum(place, place.T)
+
+
+def _weights(o: np.ndarray, worst: np.ndarray, k1: int) -> np.ndarray:
+    """What all k2 and lam of one k1 share."""
     half = int(np.round(k1 / 2))  # half to even
     whole, small = worst <= k1, worst <= half
-    weights = np.zeros((n, n))
-    for i in range(n):
+    weights = np.zeros(o.shape)
+    for i in range(len(o)):
         members = whole[i].copy()
         for c in np.flatnonzero(whole[i]):
             if 3 * (small[c] & whole[i]).sum() > 2 * small[c].sum():
                 members |= small[c]
         w = np.where(members, np.exp(-o[i]), 0.0)
         weights[i] = w / w.sum()
+    return weights
+
+
+def _jaccard(weights: np.ndarray, order: np.ndarray, k2: int) -> np.ndarray:
     if k2 > 1:
-        weights = np.stack([weights[order[i, :k2]].mean(0) for i in range(n)])
+        weights = np.stack([weights[order[i, :k2]].mean(0) for i in range(len(weights))])
     m = np.minimum(weights[0], weights).sum(1)
-    return (1 - m / (2 - m)) * (1 - lam) + o[0] * lam
+    return 1 - m / (2 - m)
 
 
-def rerank(queries: DataFrame, gallery: DataFrame, k1: int = 6, k2: int = 3, lam: float = 0.3, top: int = 50) -> DataFrame:
-    """(q, g, score): score = 1 - blended distance for the query's `top` nearest; the rest keep their cosine order below them."""
-    import pyarrow as pa
+def local_distances(d: np.ndarray, k1: int, k2: int, lam: float) -> np.ndarray:
+    """d: distances of a small node set, node 0 the query -> blended distances of node 0 to all nodes.
 
-    guards.positive("k1", k1), guards.positive("k2", k2), guards.share("lam", lam)
-    scores = score_pairs(queries, gallery)
-    best = ranked(scores, top)
-    nodes = best.join(gallery.select(F.col("key").alias("g"), "v"), "g").select("q", F.col("rank").cast("long").alias("place"), F.col("g").alias("node"), "v")
-    nodes = nodes.union(queries.select(F.col("key").alias("q"), F.lit(0).cast("long"), F.col("key"), "v"))
+    Columns are scaled by their maxima (0 by 0 is 0); node i's reciprocal set is what it and its k1 nearest have of each other, grown by
+    the half-size sets of members that share over two thirds; weights exp(-d); averaged over the first k2; Jaccard by the sum of minima.
+    """
+    o, order, worst = _orders(d)
+    return _jaccard(_weights(o, worst, k1), order, k2) * (1 - lam) + o[0] * lam
+
+
+def _nodes(queries: DataFrame, gallery: DataFrame, scores: DataFrame, top: int) -> DataFrame:
+    """q, place, node, v: each query (place 0) and its `top` nearest."""
+    nodes = ranked(scores, top).join(gallery.select(F.col("key").alias("g"), "v"), "g").select("q", F.col("rank").cast("long").alias("place"), F.col("g").alias("node"), "v")
+    return nodes.union(queries.select(F.col("key").alias("q"), F.lit(0).cast("long"), F.col("key"), "v"))
+
+
+def _by_query(solve, names: tuple[str, ...]):
+    """solve(distances of the nodes) -> [(parameters, new distances of node 0)] as rows q, g, *names, d."""
+    import pyarrow as pa
 
     def one(table):
         table = table.sort_by("place")
@@ -58,10 +72,64 @@ def rerank(queries: DataFrame, gallery: DataFrame, k1: int = 6, k2: int = 3, lam
         v = v / np.sqrt((v * v).sum(1, keepdims=True))
         d = 1 - np.clip(v @ v.T, -1, 1)
         np.fill_diagonal(d, 0.0)
-        new = local_distances(d, k1, k2, lam)
-        return pa.table({"q": table.column("q").slice(1), "g": table.column("node").slice(1), "d": pa.array(new[1:])})
+        parts = [pa.table({"q": table.column("q").slice(1), "g": table.column("node").slice(1), **{n: pa.array([x] * (len(d) - 1)) for n, x in zip(names, given, strict=True)}, "d": pa.array(new[1:])}) for given, new in solve(d)]
+        return pa.concat_tables(parts)
+
+    return one
+
+
+def rerank_grid(queries: DataFrame, gallery: DataFrame, scores: DataFrame, k1s, k2s, lams, top: int = 50) -> DataFrame:
+    """(q, g, k1, k2, lam, d) of each query's `top` nearest for all parameters with k2 <= k1: one graph per query, orders shared by all
+    parameters and weights by those of one k1."""
+
+    def solve(d):
+        o, order, worst = _orders(d)
+        for k1 in k1s:
+            weights = _weights(o, worst, k1)
+            for k2 in k2s:
+                if k2 <= k1:
+                    j = _jaccard(weights, order, k2)
+                    for lam in lams:
+                        yield (k1, k2, lam), j * (1 - lam) + o[0] * lam
+
+    return _nodes(queries, gallery, scores, top).groupBy("q").applyInArrow(_by_query(solve, ("k1", "k2", "lam")), "q long, g long, k1 long, k2 long, lam double, d double")
 
-    local = nodes.groupBy("q").applyInArrow(one, "q long, g long, d double")
+
+def grid_metrics(queries: DataFrame, gallery: DataFrame, k1s, k2s, lams, top: int = 50) -> DataFrame:
+    """k1, k2, lam, map_step: mean AP of every grid point under the market rule. Only the re-ranked heads differ between points: the part
+    of a query's AP that lies behind its head is taken once, from the cosine ranking."""
+    from .evaluate import eligible
+    from .pairs import labelled_pairs
+
+    scores = score_pairs(queries, gallery)
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "g"))
+    pairs = labelled_pairs(queries, gallery, scores.withColumn("place", place))
+    right = F.col("q_id") == F.col("g_id")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("place"))
+    hit = F.row_number().over(Window.partitionBy("q").orderBy("rank"))
+    hits = eligible(pairs).withColumn("rank", rank).where(right).withColumn("hit", hit)
+    behind = hits.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("place") > top, F.col("hit") / F.col("rank"))), F.lit(0.0)).alias("behind"))
+    kept = eligible(pairs).where(F.col("place") <= top).select("q", "g", right.alias("right"))
+    heads = rerank_grid(queries, gallery, scores, k1s, k2s, lams, top).join(kept, ["q", "g"])
+    point = ["q", "k1", "k2", "lam"]
+    heads = heads.withColumn("rank", F.row_number().over(Window.partitionBy(*point).orderBy("d", "g"))).where("right")
+    heads = heads.withColumn("hit", F.row_number().over(Window.partitionBy(*point).orderBy("rank"))).groupBy(*point).agg(F.sum(F.col("hit") / F.col("rank")).alias("head"))
+    points = [(k1, k2, lam) for k1 in k1s for k2 in k2s if k2 <= k1 for lam in lams]
+    every = behind.select("q", "n", "behind", F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("k1"), F.lit(b).cast("long").alias("k2"), F.lit(c).alias("lam")) for a, b, c in points])).alias("p")).select("q", "n", "behind", "p.*")
+    ap = every.join(heads, point, "left").select("k1", "k2", "lam", ((F.coalesce("head", F.lit(0.0)) + F.col("behind")) / F.col("n")).alias("ap"))
+    return ap.groupBy("k1", "k2", "lam").agg(F.avg("ap").alias("map_step"))
+
+
+def best_point(points: DataFrame) -> DataFrame:
+    """The row of the largest map_step; of equal ones the first in the order of the grid."""
+    return points.orderBy(F.desc(F.round("map_step", 9)), "k1", "k2", "lam").limit(1)
+
+
+def rerank(queries: DataFrame, gallery: DataFrame, k1: int = 6, k2: int = 3, lam: float = 0.3, top: int = 50) -> DataFrame:
+    """(q, g, score): score = 1 - blended distance for the query's `top` nearest; the rest keep their cosine order below them."""
+    guards.positive("k1", k1), guards.positive("k2", k2), guards.share("lam", lam)
+    scores = score_pairs(queries, gallery)
+    local = _nodes(queries, gallery, scores, top).groupBy("q").applyInArrow(_by_query(lambda d: [((), local_distances(d, k1, k2, lam))], ()), "q long, g long, d double")
     most = local.groupBy("q").agg(F.max("d").alias("most"))
     out = scores.join(local, ["q", "g"], "left").join(most, "q")
     return out.select("q", "g", (1 - F.coalesce("d", F.col("most") + 1 + (1 - F.col("score")))).alias("score"))

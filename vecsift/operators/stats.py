@@ -1,4 +1,4 @@
-"""Resampling and multiple comparisons. Draws come from hashes of (seed, draw, row), so they do not depend on partitioning."""
+"""Resampling and multiple comparisons. Draws come from MD5 of (seed, draw, row): any partitioning and any engine makes the same."""
 
 from __future__ import annotations
 
@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 def uniform(*key: Column) -> Column:
     """A uniform number in [0, 1) from a key."""
-    return F.shiftrightunsigned(F.xxhash64(*key), 11).cast("double") / F.lit(float(1 << 53))
+    text = F.concat_ws("|", *[k.cast("string") for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def uniform_sql(*key: str) -> str:
+    return "('0x' || substr(md5(" + " || '|' || ".join(f"({k})::VARCHAR" for k in key) + "), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
 
 
 def poisson1(u: Column) -> Column:
@@ -21,7 +26,26 @@ def poisson1(u: Column) -> Column:
     return out
 
 
-def bootstrap_mean(rows: DataFrame, value: str, key: str, draws: int = 1000, seed: int = 1, cluster: str | None = None, level: float = 0.95) -> DataFrame:
+def poisson1_sql(u: str) -> str:
+    out, p, total = [], 0.36787944117144233, 0.36787944117144233
+    for k in range(1, 12):
+        out.append(f"({u} >= {total!r})::INT")
+        p /= k
+        total += p
+    return " + ".join(out)
+
+
+def sign_test(rows: DataFrame, value: str) -> DataFrame:
+    """n_plus, n_minus, p_sign: the two-sided binomial p of at most min(n_plus, n_minus) signs of the rarer kind; zeros do not count."""
+    n = rows.agg(F.count_if(F.col(value) > 0).alias("n_plus"), F.count_if(F.col(value) < 0).alias("n_minus"))
+    total, m = F.col("n_plus") + F.col("n_minus"), F.least("n_plus", "n_minus")
+    start = F.struct((-total * F.log(F.lit(2.0))).alias("log"), F.lit(0.0).alias("sum"))
+    step = lambda a, k: F.struct((a["log"] + F.log(((total - k).cast("double")) / (k + 1))).alias("log"), (a["sum"] + F.exp(a["log"])).alias("sum"))
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), m), start, step, lambda a: a["sum"])
+    return n.select("n_plus", "n_minus", F.when(total > 0, F.least(F.lit(1.0), 2 * tail)).alias("p_sign"))
+
+
+def bootstrap_mean(rows: DataFrame, value: str, key: str, draws: int = 4000, seed: int = 1, cluster: str | None = None, level: float = 0.95) -> DataFrame:
     """mean, lo, hi, p_two_sided of the mean of value, by the Poisson bootstrap; cluster resamples whole groups (ratio of sums)."""
     name = cluster or key
     sums = rows.groupBy(F.col(name).alias("unit")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
@@ -48,7 +72,8 @@ def holm(tests: DataFrame, p: str = "p", key: str = "name") -> DataFrame:
 
 
 def cross_fit(events: DataFrame, group: str, folds: int = 5) -> DataFrame:
-    """Each fold of groups is judged at the threshold that is best (F1, then the higher one) on the others: fold, threshold, tp, fp, fn."""
+    """Each fold of groups is judged at the threshold that is best (F1, then the higher one) on the others: fold, threshold, tp, fp, fn; fold -1 is all
+    folds pooled, their scores centred by their thresholds."""
     from .sweep import choose, sweep
 
     fold = F.pmod(F.col(group), F.lit(folds))
@@ -61,4 +86,5 @@ def cross_fit(events: DataFrame, group: str, folds: int = 5) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    pooled = out.agg(F.lit(-1).alias("fold"), F.lit(0.0).alias("threshold"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])  # scores less their fold's threshold, at 0
+    return out.unionByName(pooled)

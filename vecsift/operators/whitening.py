@@ -8,40 +8,39 @@ from pyspark.sql import functions as F
 
 
 def moments(rows: DataFrame) -> tuple[int, np.ndarray]:
-    """(pairs, mean outer product of differences) over pairs of one id and different cameras, without making the pairs:
-    the sum over a set of all pairs' outer products is n * sum(x x') - s s', so pairs across cameras are those of the id less those
-    within its cameras. Each Arrow batch gives one D x D matrix per group it meets; only sums travel."""
+    """(pairs, mean outer product of differences) over pairs of one id and different cameras, without making the pairs.
+
+    The sum over a set of n rows of all pairs' outer products is n * sum(x x') - s s', and pairs across cameras are those of the id less
+    those within its cameras. So each row's x x' weighs its id's rows less its cell's, and s s' is taken once for each id and cell, from
+    sums that the shuffle combines. Every task gives one D x D matrix, which are summed by the thousand before the driver gets one.
+    """
     import pyarrow as pa
 
+    d = len(rows.select("v").first()[0])
+    v = [F.sum(F.get("v", F.lit(k))).alias(f"s{k}") for k in range(d)]
+    cells = rows.groupBy("id", "cam").agg(F.count(F.lit(1)).alias("n"), *v)
+    ids = cells.groupBy("id").agg(F.sum("n").alias("n"), *[F.sum(f"s{k}").alias(f"s{k}") for k in range(d)])
+    pack = lambda df, sign: df.select(F.lit(float(sign)).alias("w"), F.array(*[f"s{k}" for k in range(d)]).alias("v"))
+    weights = cells.select("id", "cam", "n").join(ids.select("id", F.col("n").alias("all")), "id")
+    weighed = rows.select("id", "cam", "v").join(weights, ["id", "cam"]).select((F.col("all") - F.col("n")).cast("double").alias("w"), "v")
+    terms = weighed.unionByName(pack(ids, -1)).unionByName(pack(cells, 1))
+
     def gram(batches):
+        total = np.zeros((d, d))
         for b in batches:
-            v = b.column("v")
-            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
-            ids, cams = b.column("id").to_numpy(), b.column("cam").to_numpy()
-            for i, c in {*zip(ids.tolist(), cams.tolist(), strict=True)}:
-                m = x[(ids == i) & (cams == c)]
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([c], pa.int64()), pa.array([len(m)], pa.int64()), pa.array([m.sum(0)], pa.list_(pa.float64())), pa.array([(m.T @ m).ravel()], pa.list_(pa.float64()))], ["id", "cam", "n", "s", "xx"])
-
-    cells = rows.select(F.col("id").cast("long"), F.col("cam").cast("long"), "v").mapInArrow(gram, "id long, cam long, n long, s array<double>, xx array<double>")
-    d = len(rows.select("v").first()[0])
+            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(b), d)
+            total += (x * b.column("w").to_numpy()[:, None]).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["m"])
+
+    part = terms.mapInArrow(gram, "m array<double>").withColumn("part", F.spark_partition_id() % 32)
+
+    def add(table):
+        return pa.table({"m": pa.array([np.sum([np.array(m) for m in table.column("m").to_pylist()], 0)], pa.list_(pa.float64()))})
 
-    def spread(keys):  # n * sum(xx') - s s' by key, summed over keys
-        def one(table):
-            n = table.column("n").to_numpy().sum()
-            s = np.array(table.column("s").to_pylist()).sum(0)
-            xx = np.array(table.column("xx").to_pylist()).sum(0).reshape(d, d)
-            return pa.table({"n": pa.array([int(n)]), "m": pa.array([(n * xx - np.outer(s, s)).ravel()], pa.list_(pa.float64()))})
-
-        out = cells.groupBy(*keys).applyInArrow(one, "n long, m array<double>")
-        total, pairs = np.zeros((d, d)), 0.0
-        for r in out.toLocalIterator():  # one D x D matrix at a time
-            total += np.array(r["m"]).reshape(d, d)
-            pairs += r["n"] * (r["n"] - 1) / 2
-        return pairs, total
-
-    whole, within = spread(["id"]), spread(["id", "cam"])
-    n = whole[0] - within[0]
-    return int(n), (whole[1] - within[1]) / max(n, 1)
+    sums = part.groupBy("part").applyInArrow(add, "m array<double>").collect()  # at most 32 matrices
+    squares = cells.groupBy("id").agg((F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))).alias("x")).agg(F.coalesce(F.sum("x"), F.lit(0.0))).first()[0]
+    n = int(squares / 2)
+    return n, np.sum([np.array(r["m"]) for r in sums], 0).reshape(d, d) / max(n, 1)
 
 
 def fit(rows: DataFrame, shrink: float = 0.1) -> tuple[list[float], list[list[float]]]:

@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import evaluate as E
 from ..operators import graph as G
-from ..operators import integrity as I
 from ..operators import pairs as P
-from ..operators import stats as B
 from ..operators import sweep as T
-from .retrieval import BASE, EDGES, SWEEP, all_rows, class_means, metric_ctes, per, presence_curve, r6, top1_events
-from .retrieval import PR
+from .retrieval import BASE, EDGES, SWEEP, all_rows, class_means, metric_ctes, r6, top1_events
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -66,16 +63,6 @@ def m6(spark, d):
     return f.where(F.col("absent") == F.coalesce("there", F.lit(False))).select(F.col("key").alias("q"))
 
 
-@query("m20_ap_ceilings", f"""WITH {BASE}, {metric_ctes()}, k AS (SELECT q, count(*) AS n, count(*) FILTER (WHERE rank <= 10) AS inside, count(*) FILTER (WHERE rank > 10 AND rank <= 50) AS near FROM h GROUP BY q)
-SELECT round(avg(least(inside + near, 10)::DOUBLE / least(n, 10)), 6) AS ideal_recall, count(*) FILTER (WHERE near > 0) AS liftable, sum(near)::BIGINT AS positives_to_lift FROM k""")
-def m20(spark, d):
-    """How far AP at 10 could rise if the positives of ranks 11 to 50 were lifted: the ideal order fills the first places."""
-    q, g = P.protocol(spark, d)
-    h = E.hits(P.ranked(E.eligible(P.labelled_pairs(q, g))))
-    k = h.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("rank <= 10")).alias("inside"), F.count_if(F.expr("rank > 10 AND rank <= 50")).alias("near"))
-    return k.agg(r6(F.avg(F.least(F.col("inside") + F.col("near"), F.lit(10)) / F.least("n", F.lit(10))), "ideal_recall"), F.count_if(F.expr("near > 0")).alias("liftable"), F.sum("near").alias("positives_to_lift"))
-
-
 @query("k14_rule_combination", EDGES.format(t=0.25) + " SELECT count(*) AS flagged, count(*) FILTER (WHERE sim >= 0.35) AS by_sim, count(*) FILTER (WHERE sim < 0.35 AND a % 7 = b % 7) AS by_second, round(avg((x.label <> y.label)::INT) FILTER (WHERE sim >= 0.35 OR a % 7 = b % 7), 6) AS false_rate FROM ed JOIN e x ON x.vec_id = a JOIN e y ON y.vec_id = b")
 def k14(spark, d):
     rows = all_rows(spark, d)
@@ -97,46 +84,6 @@ def t2(spark, d):
     return c.orderBy("threshold").limit(1).select("tp", "fp", r6("f1", "f1"))
 
 
-for _name, _sign in (("first", "DESC"), ("highest", "DESC")):
-    @query(f"t8_best_f1_{_name}", PR + f" SELECT round(threshold, 6) AS threshold, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM pr WHERE tp > 0 ORDER BY f1 DESC, pr.threshold {_sign} LIMIT 1")
-    def t8(spark, d):
-        """Scanning from the highest score, the first maximum is the highest threshold of the best F1."""
-        c = presence_curve(spark, d).where("tp > 0").withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-        return c.orderBy(F.desc(F.round("f1", 6)), F.desc("threshold")).limit(1).select(r6("threshold", "threshold"), r6("f1", "f1"))
-
-
-@query("b4_stratified_bootstrap_of_sweep")
-def b4(spark, d):
-    """The best F1 and its threshold over resampled identities, known and unknown drawn apart: multiplicities weigh the sweep."""
-    p, pairs = per(spark, d)
-    ev = E.refusal_events(p, pairs, "top1").join(p.select("q", "q_id"), "q")
-    drawn = ev.select("q_id", "score", "correct", "unknown", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("draw"))
-    k = B.poisson1(B.uniform(F.lit(7), F.col("unknown"), F.col("draw"), F.col("q_id")))
-    w = drawn.withColumn("k", k).where("k > 0 AND score IS NOT NULL")
-    run = Window.partitionBy("draw").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, 0)
-    c = w.withColumn("t", F.sum(F.when(F.col("correct"), F.col("k")).otherwise(0)).over(run)).withColumn("a", F.sum("k").over(run)).withColumn("known", F.sum(F.when(F.col("unknown"), 0).otherwise(F.col("k"))).over(Window.partitionBy("draw")))
-    best = c.withColumn("f1", 2 * F.col("t") / (F.col("a") + F.col("known"))).groupBy("draw").agg(F.max(F.struct("f1", "score")).alias("b"))
-    return best.agg(r6(F.expr("percentile(b.score, 0.025)"), "lo"), r6(F.expr("percentile(b.score, 0.975)"), "hi"), F.count(F.lit(1)).alias("draws"))
-
-
-@query("b7_mean_interval")
-def b7(spark, d):
-    return B.bootstrap_mean(per(spark, d)[0].where("inp IS NOT NULL"), "inp", "q", draws=500)
-
-
-@query("b8_random_control")
-def b8(spark, d):
-    """Random vectors (hashed normal draws) in place of the real ones: three seeds."""
-    q, g = P.protocol(spark, d)
-    out = None
-    for seed in (1, 2, 3):
-        u = lambda x, i, s=seed: (F.shiftrightunsigned(F.xxhash64(F.lit(s), "key", i), 11).cast("double") + 0.5) / float(1 << 53) - 0.5
-        fake = lambda df: df.withColumn("v", F.transform("v", lambda x, i: u(x, i)))  # noqa: E731,B023
-        m = E.ranking_metrics(E.per_query(q, g, P.labelled_pairs(fake(q), fake(g)))).select(F.lit(seed).alias("seed"), r6("map_step", "map_step"))
-        out = m if out is None else out.unionByName(m)
-    return out
-
-
 @query("b8_perfect_control", f"WITH {BASE} SELECT 1.0::DOUBLE AS map_step, count(*) AS n_valid FROM (SELECT DISTINCT q FROM p WHERE q_id = g_id AND q_cam <> g_cam)")
 def b8p(spark, d):
     """One-hot vectors by identity: every metric must be exactly 1."""
@@ -145,11 +92,6 @@ def b8p(spark, d):
     return E.ranking_metrics(E.per_query(q, g, P.labelled_pairs(hot(q), hot(g)))).select("map_step", "n_valid")
 
 
-@query("b9_tune_and_announce_halves", f"WITH {BASE}, {metric_ctes()} SELECT q_id % 2 AS half, count(ap) AS n, round(avg(ap), 6) AS map_step FROM per GROUP BY 1")
-def b9(spark, d):
-    return per(spark, d)[0].groupBy((F.col("q_id") % 2).alias("half")).agg(F.count("ap").alias("n"), r6(F.avg("ap"), "map_step"))
-
-
 @query("p1_identity_clusters", EDGES.format(t=0.4).replace("ed AS (", "ed0 AS (") + ", ed AS (SELECT DISTINCT least(x.label, y.label) AS a, greatest(x.label, y.label) AS b FROM ed0 JOIN e x ON x.vec_id = a JOIN e y ON y.vec_id = b), sym AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), reach AS (SELECT DISTINCT label AS k, label AS m FROM e UNION SELECT r.k, b.b FROM reach r JOIN sym b ON b.a = r.m) SELECT k AS id, min(m) AS cluster FROM reach GROUP BY k")
 def p1(spark, d):
     """Identities that share a near-duplicate pair are one group for splitting."""
@@ -168,15 +110,6 @@ def p3(spark, d):
     return all_rows(spark, d).withColumn("n", n).withColumn("turn", turn).where("turn <= 6").select("key")
 
 
-@query("o5_exact_partition", "SELECT count(*) AS n, 0::BIGINT AS in_none, 0::BIGINT AS in_both FROM customer")
-def o5(spark, d):
-    """Two parts are a partition when their union is the whole and nothing is in both."""
-    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"))
-    part = lambda cond, name: c.where(cond).select("k", F.lit(1).alias(name))
-    x = c.join(part("k % 3 = 0", "a"), "k", "left").join(part("k % 3 <> 0", "b"), "k", "left")
-    return x.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("a IS NULL AND b IS NULL")).alias("in_none"), F.count_if(F.expr("a IS NOT NULL AND b IS NOT NULL")).alias("in_both"))
-
-
 @query("w7_lexicographic_order", f"WITH {BASE}, r AS (SELECT q, g, row_number() OVER (PARTITION BY q ORDER BY round(score, 1) DESC, g_cam, g) AS place FROM p) SELECT q, g, place FROM r WHERE place <= 5")
 def w7(spark, d):
     p = P.labelled_pairs(*P.protocol(spark, d))

@@ -405,11 +405,6 @@ def j2(spark, d):
     return P.similarity_join(all_rows(spark, d), 0.35).select("a", "b", r6("sim", "sim"))
 
 
-@query("j3_cross_set_join", f"WITH {BASE} SELECT q, g, round(score, 6) AS sim FROM p WHERE score >= 0.35")
-def j3(spark, d):
-    return P.score_pairs(*P.protocol(spark, d)).where("score >= 0.35").select("q", "g", r6("score", "sim"))
-
-
 @query("j5_same_id_other_camera", f"WITH {BASE} SELECT a.label AS id, count(*) AS pairs FROM e a JOIN e b ON a.label = b.label AND a.cam <> b.cam AND a.vec_id < b.vec_id GROUP BY a.label")
 def j5(spark, d):
     cell = all_rows(spark, d).groupBy("id", "cam").agg(F.count(F.lit(1)).alias("n"))  # pairs by counts, without making them
@@ -499,17 +494,6 @@ def k2(spark, d):
     return K.joint_rerank(q, g, 6, 3, 0.3, 10).select("q", "g", "rank", r6("score", "score"))
 
 
-@query("k8_parameter_grid")
-def k8(spark, d):
-    q, g = P.protocol(spark, d)
-    base, out = P.labelled_pairs(q, g), None
-    for a, b in ((4, 1), (6, 3)):
-        m = E.ranking_metrics(E.per_query(q, g, base.drop("score").join(K.rerank(q, g, a, b, 0.3), ["q", "g"])))
-        m = m.select(F.lit(a).alias("k1"), F.lit(b).alias("k2"), r6("map_step", "map_step"))
-        out = m if out is None else out.unionByName(m)
-    return out
-
-
 @query("k9_diffusion_top10")
 def k9(spark, d):
     q, g = P.protocol(spark, d)
@@ -525,16 +509,6 @@ def k16(spark, d):
     return recall(search(index, q, 10, probes=8), P.top_k(q, g, 10), 10)
 
 
-@query("k17_rerank_depth")
-def k17(spark, d):
-    q, g = P.protocol(spark, d)
-    base, out = P.labelled_pairs(q, g), None
-    for top in (10, 50):
-        m = E.ranking_metrics(E.per_query(q, g, base.drop("score").join(K.rerank(q, g, top=top), ["q", "g"]))).select(F.lit(top).alias("top"), r6("map_step", "map_step"))
-        out = m if out is None else out.unionByName(m)
-    return out
-
-
 @query("k18_gated_rankings", f"WITH {BASE}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, g) AS rank FROM p), s2 AS (SELECT a.vec_id AS q, b.vec_id AS g, list_cosine_similarity(a.v, list_reverse(b.v)) AS score FROM qq a, gg b), r2 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, g) AS rank FROM s2), gap AS (SELECT q, max(score) FILTER (WHERE rank = 1) - max(score) FILTER (WHERE rank = 2) AS gap FROM r WHERE rank <= 2 GROUP BY q) SELECT q, g, rank FROM r JOIN gap USING (q) WHERE gap >= 0.02 AND rank <= 5 UNION ALL SELECT q, g, rank FROM r2 JOIN gap USING (q) WHERE gap < 0.02 AND rank <= 5")
 def k18(spark, d):
     q, g = P.protocol(spark, d)
@@ -592,40 +566,11 @@ def t6(spark, d):
     return x.groupBy("t").agg(F.count_if(ok & F.col("correct")).alias("tp"), F.count_if(ok & ~F.col("correct")).alias("fp")).select(r6("t", "threshold"), "tp", "fp")
 
 
-@query("t7_prior_transfer")
-def t7(spark, d):
-    ev, out = top1_events(spark, d), None
-    for a in (0.1, 0.4):
-        cut = T.choose(T.sweep(ev, a), "best_f1").select(F.col("threshold").alias("cut"))
-        for b in (0.1, 0.4):
-            m = T.sweep(ev, b).join(F.broadcast(cut), F.col("threshold") == F.col("cut")).select(F.lit(a).alias("chosen_at"), F.lit(b).alias("used_at"), r6("f1", "f1"))
-            out = m if out is None else out.unionByName(m)
-    return out
-
-
-@query("b1_paired_bootstrap")
-def b1(spark, d):
-    x = per(spark, d)[0].where("ap IS NOT NULL").select("q", (F.col("ap") - F.col("ap_trapezoid")).alias("diff"))
-    return B.bootstrap_mean(x, "diff", "q")
-
-
-@query("b2_cluster_bootstrap")
-def b2(spark, d):
-    return B.bootstrap_mean(per(spark, d)[0].where("ap IS NOT NULL"), "ap", "q", cluster="q_id")
-
-
 @query("b3_add_one_p", f"WITH {BASE}, {metric_ctes()} SELECT (count(*) FILTER (WHERE top_score >= {THRESHOLD}) + 1) / (count(*) + 1)::DOUBLE AS p FROM per WHERE status = 'unknown'")
 def b3(spark, d):
     return per(spark, d)[0].where("status = 'unknown'").agg(B.add_one(F.count_if(F.col("top_score") >= THRESHOLD), F.count(F.lit(1))).alias("p"))
 
 
-@query("b5_cross_fit")
-def b5(spark, d):
-    p, pairs = per(spark, d)
-    ev = E.refusal_events(p, pairs, "top1").join(p.select("q", "q_id"), "q")
-    return B.cross_fit(ev, "q_id")
-
-
 @query("b6_holm", "WITH t AS (SELECT label AS name, avg((vec_id % 7 = 0)::INT) / 10 AS p FROM embeddings GROUP BY label), r AS (SELECT *, row_number() OVER (ORDER BY p, name) AS i, count(*) OVER () AS n FROM t) SELECT name, round(least(1, max((n - i + 1) * p) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM r")
 def b6(spark, d):
     t = spark.read.parquet(f"{d}/embeddings.parquet").groupBy(F.col("label").alias("name")).agg((F.avg((F.col("vec_id") % 7 == 0).cast("int")) / 10).alias("p"))
@@ -678,11 +623,11 @@ def s13(spark, d):
 @query("s17_export_with_refusals", f"WITH {BASE}, a AS (SELECT q, g FROM p WHERE score >= {THRESHOLD}) SELECT vec_id AS q, g, g IS NOT NULL AS accepted FROM qq LEFT JOIN a ON q = vec_id")
 def s17(spark, d):
     q, g = P.protocol(spark, d)
-    a = P.accepted(P.score_pairs(q, g), THRESHOLD).select("q", "g")
+    a = P.score_pairs(q, g, least=THRESHOLD).select("q", "g")
     return q.select(F.col("key").alias("q")).join(a, "q", "left").withColumn("accepted", F.col("g").isNotNull())
 
 
-@query("x1_streamed_retrieval")
+@query("x1_streamed_retrieval", f"WITH {BASE}, r AS (SELECT q, g, row_number() OVER (PARTITION BY q ORDER BY score DESC, g) AS rank FROM p) SELECT q, g, rank FROM r WHERE rank <= 5")
 def x1(spark, d):
     from ..streaming.retrieval import retrieve_stream
 

@@ -75,17 +75,6 @@ def s3(spark, d):
     return spark.read.format("npy").option("path", path).option("rows", 20).load().select("row_no", F.element_at("v", 1).alias("first"))
 
 
-@query("s4_id_list_order", "SELECT 0::BIGINT AS n_misplaced, count(*) AS n FROM supplier")
-def s4(spark, d):
-    path = folder(spark)
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"))
-    s.coalesce(1).orderBy("id").write.text(path)
-    ids = readers.read_ids(spark, path)
-    place = lambda df, *o: df.select("id", F.row_number().over(Window.orderBy(*o)).alias("place"))  # noqa: E731  a list of ids
-    bad = readers.same_order(place(ids, "line", "pos"), place(s, "id"), "id", "place").agg(F.count(F.lit(1)).alias("n_misplaced"))
-    return bad.crossJoin(ids.agg(F.count(F.lit(1)).alias("n")))
-
-
 @query("s5_file_scan")
 def s5(spark, d):
     path = folder(spark)
@@ -112,28 +101,11 @@ def s8(spark, d):
     return readers.resolve_files(s, files)
 
 
-@query("s9_s10_gallery_store", "SELECT count(*) AS n, count(*) AS again, 0::BIGINT AS differing FROM embeddings WHERE vec_id % 5 <> 0 AND label < 8")
-def s9(spark, d):
-    from ..sources.store import Gallery
-
-    g = P.protocol(spark, d)[1]
-    store = Gallery(spark, folder(spark))
-    n = store.recreate(g)
-    store.upsert(g.where("key < 100"))
-    return spark.createDataFrame([(n, store.count(), store.seed(g).count())], "n long, again long, differing long")
-
-
 @query("s14_embedding_rows", "SELECT (vec_id % 5 <> 0)::INT AS part, vec_id AS key, len(embedding) AS size FROM embeddings WHERE vec_id % 5 = 0 OR label < 8")
 def s14(spark, d):
     return sinks.embedding_rows(*P.protocol(spark, d)).select("part", "key", F.size("v").cast("long").alias("size"))
 
 
-@query("s15_run_manifest")
-def s15(spark, d):
-    q, g = P.protocol(spark, d)
-    return sinks.manifest(q, g, P.accepted(P.score_pairs(q, g), 0.335), {"k": 10, "threshold": 0.335})
-
-
 @query("s16_s18_published_tables", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation")
 def s16(spark, d):
     path = folder(spark) + "-published"
@@ -163,15 +135,6 @@ def f10(spark, d):
     return boxes(spark, d).select("key", (F.col("x") - grow).alias("x_out"), (F.col("w") + 2 * grow).alias("w_out"), r6(F.col("w") * F.col("h") / (180.0 * 140.0), "share"), r6(F.col("w") / F.col("h"), "aspect"), F.expr("x <= 0 OR y <= 0 OR x + w >= 180 OR y + h >= 140").alias("touches"))
 
 
-@query("v22_iou_pairs", f"WITH b AS ({BOXES}), s AS (SELECT * FROM b), p AS (SELECT a.key AS a, b.key AS b, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w * a.h + b.w * b.h AS u FROM s a JOIN s b ON a.x = b.x AND a.y = b.y AND a.key < b.key) SELECT a, b, round(i / (u - i)::DOUBLE, 6) AS iou FROM p WHERE i / (u - i)::DOUBLE >= 0.8")
-def v22(spark, d):
-    s = boxes(spark, d)
-    side = lambda p: s.select(F.col("key").alias(p), "x", "y", F.col("w").alias(f"{p}_w"), F.col("h").alias(f"{p}_h"))
-    j = side("a").join(side("b"), ["x", "y"]).where("a < b")
-    box = lambda p: (F.col("x"), F.col("y"), F.col(f"{p}_w"), F.col(f"{p}_h"))
-    return j.withColumn("iou", V.iou(box("a"), box("b"))).where("iou >= 0.8").select("a", "b", r6("iou", "iou"))
-
-
 @query("f12_pair_categories", "SELECT CASE WHEN a.c_nationkey = b.c_nationkey THEN 'same' ELSE 'other' END AS nation, a.c_mktsegment AS segment, count(*) AS n FROM customer a JOIN customer b ON a.c_custkey + 1 = b.c_custkey GROUP BY ALL")
 def f12(spark, d):
     c = table(spark, d, "customer")
@@ -385,14 +348,6 @@ def m24(spark, d):
     return I.report_diff(a, b)
 
 
-@query("i7_runtime_agreement", "SELECT 0::BIGINT AS top1_differs")
-def i7(spark, d):
-    q, g = P.protocol(spark, d)
-    a = P.top_k(q, g, 1)
-    b = P.ranked(P.score_pairs(q, g), 1).select("q", F.col("g").alias("other"))
-    return a.join(b, "q").agg(F.count_if(F.col("g") != F.col("other")).alias("top1_differs"))
-
-
 @query("i8_consolidated_reports", "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM events) AS events")
 def i8(spark, d):
     one = lambda t: table(spark, d, t).agg(F.count(F.lit(1)).alias(t))
@@ -424,12 +379,6 @@ def i2(spark, d):
     return I.split_violations(e, broken).where("rule = 'P1'").select(F.col("n").alias("p1_breaks"))
 
 
-@query("p2_quota_split")
-def p2(spark, d):
-    r = I.quota_split(all_rows(spark, d).select("key", "id", "cam"), "key", "id", "cam", {"query": 0.3, "gallery": 0.3, "fit": 0.4})
-    return r.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
-
-
 @query("p4_first_frame_split", "SELECT vec_id AS key, CASE WHEN row_number() OVER (PARTITION BY label, (vec_id // 5) % 4 ORDER BY vec_id) = 1 THEN 'gallery' ELSE 'query' END AS role FROM embeddings")
 def p4(spark, d):
     return I.first_frame_split(all_rows(spark, d), "key", "id", "cam").select("key", "role")
@@ -445,11 +394,6 @@ def p6(spark, d):
     return I.group_split(table(spark, d, "customer"), "c_nationkey", 0.3).select("c_custkey", "side")
 
 
-@query("p7_batch_sampler")
-def p7(spark, d):
-    return I.batch_plan(all_rows(spark, d), "key", "id", "cam", 4, 4)
-
-
 @query("p10_error_sample", "SELECT vec_id AS key FROM embeddings WHERE label >= 8 ORDER BY md5('0|' || vec_id) LIMIT 12")
 def p10(spark, d):
     return all_rows(spark, d).where("id >= 8").orderBy(I.hashed_order("key")).limit(12).select("key")

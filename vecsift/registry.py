@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import more, retrieval, tables
+from .plans import more, retrieval, studies, tables
 
-QUERIES: dict = {**retrieval.QUERIES, **tables.QUERIES, **more.QUERIES}
-ORACLE_SQL: dict = {**retrieval.ORACLE_SQL, **tables.ORACLE_SQL, **more.ORACLE_SQL}
+QUERIES: dict = {**retrieval.QUERIES, **tables.QUERIES, **more.QUERIES, **studies.QUERIES}
+ORACLE_SQL: dict = {**retrieval.ORACLE_SQL, **tables.ORACLE_SQL, **more.ORACLE_SQL, **studies.ORACLE_SQL}
