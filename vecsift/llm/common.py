@@ -19,9 +19,11 @@ SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or in local mode (tests) a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = getattr(spark, "_own_shared_dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
         spark._own_shared_dir = found
     return found.rstrip("/")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, HOT_SHARE, chunks, documents, mix, shingle_sets, skew_lookup, stage, tidy
+from .common import BROADCAST_IDS, HOT_SHARE, chunks, documents, mix, shingle_sets, skew_lookup, stage, tidy, tidy_group
 from .components import components
 
 WIDTH, PERCENT = 5, 75
@@ -32,7 +32,7 @@ HEAVY = 1_000_000
 RUN = 2_000_000
 TILE = 1500
 BROADCAST_PLACES = 200_000
-COLUMN_BLOCK = 2_000_000
+COLUMN_BLOCK = 500_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -131,8 +131,9 @@ def _prefixes(width: int, percent: int, heavy, hot, blocks: int):
     return run
 
 
-def _multiply_columns(percent: int):
-    """One column block: (class, the smallest class of its column, number of such columns), over columns of two classes or more.
+def _multiply_columns(percent: int, buckets: int):
+    """One column block: (class, the smallest class of its column, number of such columns), over columns of two classes or more, packed by
+    buckets of classes.
 
     A column's classes are first parted where, in the order of their sizes, one is too small to link with the next.
     """
@@ -152,7 +153,7 @@ def _multiply_columns(percent: int):
         lone = new & np.r_[new[1:], True]
         s, fp, n = s[~lone], fp[~lone], n[~lone]
         if not len(s):
-            return pa.table({"fp": pa.array([], pa.int64()), "r": pa.array([], pa.int64()), "times": pa.array([], pa.int64())})
+            return packed([])
         o = np.lexsort((fp, n, s))
         s, fp, n = s[o], fp[o], n[o]
         once = np.r_[True, (s[1:] != s[:-1]) | (fp[1:] != fp[:-1])]
@@ -163,11 +164,30 @@ def _multiply_columns(percent: int):
         lead = np.minimum.reduceat(fp, starts)[group]
         shared = np.diff(np.r_[starts, len(s)])[group] > 1
         pairs, times = np.unique(np.stack([fp[shared], lead[shared]], 1), axis=0, return_counts=True) if shared.any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-        return pa.table({"fp": pa.array(pairs[:, 0]), "r": pa.array(pairs[:, 1]), "times": pa.array(times)})
+        bucket = (mix(pairs[:, 0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        o = np.argsort(bucket, kind="stable")
+        cut = np.flatnonzero(np.r_[True, bucket[o][1:] != bucket[o][:-1]]) if len(o) else np.zeros(0, np.int64)
+        parts = [o[a:b] for a, b in zip(cut, np.r_[cut[1:], len(o)].astype(int), strict=True)]
+        return packed([(int(bucket[k[0]]), pairs[k, 0].tobytes(), pairs[k, 1].tobytes(), times[k].astype(np.int64).tobytes()) for k in parts])
+
+    def packed(rows):
+        kinds = (pa.int64(), *[pa.binary()] * 3)
+        return pa.table({c: pa.array([x[j] for x in rows], k) for j, (c, k) in enumerate(zip(("bucket", "fp", "r", "times"), kinds, strict=True))})
 
     return run
 
 
+def _sum_columns(table):
+    """One bucket of classes: (class, row block, columns that they share), summed over the column blocks."""
+    import pyarrow as pa
+
+    fp, r, times = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("fp", "r", "times"))
+    o = np.lexsort((r, fp))
+    fp, r = fp[o], r[o]
+    first = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]) | (r[1:] != r[:-1])])
+    return pa.table({"fp": pa.array(fp[first]), "r": pa.array(r[first]), "times": pa.array(np.add.reduceat(times[o], first))})
+
+
 def _emit_sets(width: int):
     import pyarrow as pa
 
@@ -229,13 +249,18 @@ def _multiply_tile(percent: int):
             old = label
             label = np.minimum(label, np.where(full, label[None, :], m).min(1))
             label = label[label]
-        # a pair that also meets in an earlier block counts there
-        earlier = sorted({x for o in others for x in o if x < r})
-        if earlier:
-            at = {x: k for k, x in enumerate(earlier)}
-            inc = np.zeros((m, len(earlier)), np.float32)
-            for k, o in enumerate(others):
-                inc[k, [at[x] for x in o if x < r]] = 1
+        # a pair that also meets in an earlier block counts there; blocks that only one class of the tile has cannot matter
+        who = np.repeat(np.arange(m), [len(o) for o in others])
+        block = np.concatenate([np.array(o, np.int64) for o in others])
+        who, block = who[block < r], block[block < r]
+        _, block, held = np.unique(block, return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(held > 1)
+        for a in range(0, len(shared), step):
+            part = shared[a : a + step]
+            k = np.searchsorted(part, block)
+            hit = part[np.minimum(k, len(part) - 1)] == block
+            inc = np.zeros((m, len(part)), np.float32)
+            inc[who[hit], k[hit]] = 1
             full &= (inc @ inc.T) == 0
         links = full.astype(np.float64) @ weights
         for k in range(m):
@@ -289,15 +314,18 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     blocks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(cells / COLUMN_BLOCK))
     packed = rows.mapInArrow(tidy(_prefixes(width, percent, (order[o], weight[o]), hot, blocks)), "block long, s binary, who binary, fp binary, n binary")
-    met = packed.groupBy("block").applyInArrow(_multiply_columns(percent), "fp long, r long, times long").groupBy("fp", "r").agg(F.sum("times").alias("times"))
+    met = packed.repartition(blocks, "block").groupBy("block").applyInArrow(tidy_group(_multiply_columns(percent, blocks)), "bucket long, fp binary, r binary, times binary")
+    met = met.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(tidy_group(_sum_columns), "fp long, r long, times long")
     met = stage(spark, met, "met")
     enough = F.col("shared") >= F.expr(f"1 + (ceil(n * {percent} / 100) div 10)")
     likely = met.groupBy("fp").agg(F.sum("times").alias("shared")).join(classes, "fp").where(enough).select("fp", "rep", "copies")
     met = met.select("fp", "r").join(likely, "fp")
 
     # row blocks of two or more classes, cut into tiles; a class has at most its own prefix columns of row blocks
+    met = stage(spark, met, "likely")
+    n_met = met.count()
     per_block = met.groupBy("r").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    placed = met.join(per_block, "r").withColumn("t", F.ceil(F.col("m") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp", "r"), F.col("t")).cast("int"))
+    placed = skew_lookup(met, per_block, ["r"], "m", n_met, "fp").where("m IS NOT NULL").withColumn("t", F.ceil(F.col("m") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp", "r"), F.col("t")).cast("int"))
     places = placed.groupBy("fp", "rep", "copies").agg(F.sort_array(F.collect_list(F.struct("r", "t", "own"))).alias("at"))
     places = stage(spark, places.withColumnRenamed("rep", "id"), "places")
     if places.count() <= BROADCAST_PLACES:
