@@ -122,7 +122,7 @@ def _prefixes(width: int, percent: int, heavy, hot, blocks: int):
             out = []
             for a, b in zip(cut, np.r_[cut[1:], len(s)], strict=True):
                 here, index = np.unique(who[a:b], return_inverse=True)
-                out.append((int(block[a]), s[a:b].tobytes(), index.astype(np.uint32).tobytes(), fps[here].tobytes(), sizes[here].tobytes()))
+                out.append((int(block[a]), s[a:b].tobytes(), index.astype(np.uint32).tobytes(), fps[here].tobytes(), sizes[here].astype(np.uint32).tobytes()))
             kinds = (pa.int64(), *[pa.binary()] * 4)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "s", "who", "fp", "n"])
 
@@ -145,7 +145,7 @@ def _multiply_columns(percent: int, buckets: int):
             who = np.frombuffer(x["who"], np.uint32)
             s.append(np.frombuffer(x["s"], np.uint64))
             fp.append(np.frombuffer(x["fp"], np.int64)[who])
-            n.append(np.frombuffer(x["n"], np.int64)[who])
+            n.append(np.frombuffer(x["n"], np.uint32)[who].astype(np.int64))
         s, fp, n = np.concatenate(s), np.concatenate(fp), np.concatenate(n)
         o = np.argsort(s, kind="stable")
         s, fp, n = s[o], fp[o], n[o]
