@@ -300,7 +300,7 @@ def test_long_texts_are_tokenised_in_parts():
 
     text = "Some words, and " * 400 + "q" * 900 + " \nend. " * 300
     run = packing._cut(packing.tokenizer_path(), 100, 1, chunk=500)
-    rows = pa.Table.from_batches(run([pa.RecordBatch.from_arrays([pa.array([4], pa.int64()), pa.array([text])], ["doc_id", "body"])])).to_pylist()
+    rows = pa.Table.from_batches(run([pa.RecordBatch.from_arrays([pa.array([4], pa.int64()), pa.array([text]), pa.array([0], pa.int64())], ["doc_id", "body", "h"])])).to_pylist()
     ids = [*Tokenizer.from_file(packing.tokenizer_path()).encode(text, add_special_tokens=False).ids, 1]
     assert [(r["start"], r["length"], r["doc_tokens"]) for r in rows] == [(k, min(100, len(ids) - k), len(ids)) for k in range(0, len(ids), 100)]
     assert all(r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) for r in rows)

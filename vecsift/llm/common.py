@@ -16,6 +16,8 @@ HOT_SHARE = 1000
 BROADCAST_IDS = 2_000_000
 # Spark's own setting: shuffle files go when the query that wrote them ends.
 SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Spark's own setting: rows of whole texts go to Python in smaller batches than the 10,000 rows that it makes of its own accord.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,12 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back. The folder goes when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLES_GO, "false")
+    before, rows = spark.conf.get(SHUFFLES_GO, "false"), spark.conf.get(BATCH)
     spark.conf.set(SHUFFLES_GO, "true")  # what this write shuffled is not read again
+    spark.conf.set(BATCH, min(BATCH_ROWS, int(rows)) if int(rows) > 0 else BATCH_ROWS)
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(SHUFFLES_GO, before)
+        spark.conf.set(BATCH, rows)
     atexit.register(drop_path, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,11 +56,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def release() -> None:
-    """What the allocators keep goes back to the system, as the worker process lives on."""
+    """What the allocators keep, and the tables of powers, go back to the system, as the worker process lives on."""
     import ctypes
 
     import pyarrow as pa
 
+    _POW.update(pw=np.ones(1, np.uint64), ip=np.ones(1, np.uint64))
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -102,6 +107,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """docs with columns c0, c1, ...: whatever they are called, none meets a name of an operator's own."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+
+def named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns c0, c1, ... of rows under their names in docs."""
+    return rows.select(*[f"c{k}" for k in range(len(docs.columns))]).toDF(*docs.columns)
+
+
 def skew_lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, spread: str) -> DataFrame:
     """Left-join rows to table on keys, where table has one row per key and says in `weight` how many rows ask for it.
 
@@ -127,7 +142,7 @@ _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _POW: dict[str, np.ndarray] = {"pw": np.ones(1, np.uint64), "ip": np.ones(1, np.uint64)}
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

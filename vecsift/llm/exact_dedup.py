@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, documents, skew_lookup, stage
+from .common import HOT_SHARE, apart, documents, named, skew_lookup, stage
 
 CAPACITY = 1 << 14  # distinct hashes of a bucket; more only beyond 2**MOST_BITS buckets, which bounds the directory
 MOST_BITS = 18
@@ -129,14 +129,14 @@ def keep_one(spark: SparkSession, docs: DataFrame, most_broadcast: int = 200_000
     """
     index, levels, total = build_index(spark, docs)
     copied = index.where("group_size > 1").select("bucket", "h", "sha", "keep_id", "group_size")
-    body = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64(body).alias("h"), F.sha2(body, 256).alias("sha"))
+    body = F.coalesce(F.col(f"c{docs.columns.index('text')}"), F.lit(""))
+    rows = apart(docs).withColumns({"id": F.col(f"c{docs.columns.index('doc_id')}"), "h": F.xxhash64(body), "sha": F.sha2(body, 256)})
     rows = in_bucket(rows, levels).drop("owner")
     if copied.count() <= most_broadcast:
         found = rows.join(F.broadcast(copied), ["bucket", "h", "sha"], "left")
     else:
         found = skew_lookup(rows, copied, ["bucket", "h", "sha"], "group_size", total, "id")
-    return found.where(F.col("group_size").isNull() | F.col("id").eqNullSafe(F.col("keep_id"))).select("doc.*")
+    return named(found.where(F.col("group_size").isNull() | F.col("id").eqNullSafe(F.col("keep_id"))), docs)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,10 +164,12 @@ def _multiply_columns(percent: int, buckets: int):
         lead = np.minimum.reduceat(fp, starts)[group]
         shared = np.diff(np.r_[starts, len(s)])[group] > 1
         pairs, times = np.unique(np.stack([fp[shared], lead[shared]], 1), axis=0, return_counts=True) if shared.any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-        bucket = (mix(pairs[:, 0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        if not len(pairs):
+            return packed([])
+        bucket = (mix(np.ascontiguousarray(pairs[:, 0]).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         o = np.argsort(bucket, kind="stable")
-        cut = np.flatnonzero(np.r_[True, bucket[o][1:] != bucket[o][:-1]]) if len(o) else np.zeros(0, np.int64)
-        parts = [o[a:b] for a, b in zip(cut, np.r_[cut[1:], len(o)].astype(int), strict=True)]
+        cut = np.flatnonzero(np.r_[True, bucket[o][1:] != bucket[o][:-1]])
+        parts = [o[a:b] for a, b in zip(cut, np.r_[cut[1:], len(o)], strict=True)]
         return packed([(int(bucket[k[0]]), pairs[k, 0].tobytes(), pairs[k, 1].tobytes(), times[k].astype(np.int64).tobytes()) for k in parts])
 
     def packed(rows):

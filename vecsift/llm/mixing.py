@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, mix, stage, tidy
+from .common import apart, documents, mix, named, stage, tidy
 
 BLOCK = 1024
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -31,7 +31,7 @@ MOST_SOURCES = 100_000  # planned on the driver; more are planned on executors
 SLOT_RUN = 100_000  # slots that one task makes at once
 
 
-def word_count(text: str) -> Column:
+def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long"), F.lit(0).cast("long"))
 
 
@@ -279,13 +279,14 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK, we
     """
     import pyarrow as pa
 
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.monotonically_increasing_id().alias("row"))
-    rows = stage(spark, rows, "numbered")
-    sized = rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), word_count("doc.text").alias("size"), F.xxhash64("doc.text").alias("tie"))
+    at = {c: docs.columns.index(c) for c in ("doc_id", "source", "text")}
+    rows = stage(spark, apart(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    text = F.col(f"c{at['text']}")
+    sized = rows.select("row", F.col(f"c{at['doc_id']}").alias("doc_id"), F.col(f"c{at['source']}").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("tie"))
     _, pieces = plan_mix(spark, sized, block, weights)
     runs = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("round", "lo", "hi"))).alias("runs"))
-    joined = rows.join(runs, "row").select("doc", F.col("doc.text").alias("body"), "runs")
+    joined = rows.join(runs, "row").drop("row")
+    place, n = at["text"], len(docs.columns)
 
     def run(batches):
         import re
@@ -293,7 +294,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK, we
         word = re.compile("[^\x20\x09-\x0D]+")
         for b in batches:
             index, texts = [], []
-            for k, (text, spans) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            for k, (text, spans) in enumerate(zip(b.column(place).to_pylist(), b.column(n).to_pylist(), strict=True)):
                 merged: list[list[int]] = []
                 for s in spans:
                     if merged and merged[-1][0] == s["round"] and merged[-1][2] == s["lo"]:
@@ -305,11 +306,14 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK, we
                     ends = ends or [m.span() for m in word.finditer(text)]
                     index.append(k)
                     texts.append(text if (lo, hi) == (0, len(ends)) else text[ends[lo][0] : ends[hi - 1][1]])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(index, pa.int64())), pa.array(texts, pa.string())], ["doc", "body"])
-
-    out = joined.mapInArrow(tidy(run), f"doc {rows.schema['doc'].dataType.simpleString()}, body string")
-    new = {"text": F.col("body").alias("text"), "n_chars": F.length("body").cast("long").alias("n_chars")}
-    return out.select(*[new.get(c, F.col(f"doc.`{c}`")) for c in names])
+            index = pa.array(index, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == place else b.column(k).take(index) for k in range(n)], b.schema.names[:n])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:n])
+    out = joined.mapInArrow(tidy(run), schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn(f"c{docs.columns.index('n_chars')}", F.length(text).cast("long"))
+    return named(out, docs)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

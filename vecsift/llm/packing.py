@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_IDS, documents, stage, tidy
 
 WINDOW, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
-CACHED_WORDS = 600_000
+CACHED_WORDS = 600_000  # words whose ids a worker remembers, about 200 bytes each
 CHUNK = 2 << 20
 RANKS_PER_TASK, MOST_RANKED = 2_000, 100_000  # pieces of one length ranked at once, more where that makes over MOST_RANKED parts
 SLACK = 100  # a sequence may keep one window/SLACK of padding
@@ -46,10 +46,10 @@ def _encoder(path: str):
     return _CACHES[path]
 
 
-def _known_ids(names: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+def _known_ids(names: list[str], path: str, cached: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids of the words one after another, number of ids of each)."""
     tok, known = _encoder(path)
-    if len(known) > CACHED_WORDS:
+    if len(known) > cached:
         known.clear()
     new = [w for w in names if w not in known]
     for a in range(0, len(new), 5000):
@@ -65,7 +65,7 @@ _MARKS = ".,;:!?$%&*#|"
 _STEM_END = "[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$"
 
 
-def token_runs(column, path: str):
+def token_runs(column, path: str, cached: int = CACHED_WORDS):
     """(ids of all rows, offsets of the rows) of an Arrow string column without nulls.
 
     Rows are parted at blanks, which the tokenizer drops, and words from the marks at their end, where the tokenizer parts them anyway: after
@@ -83,7 +83,7 @@ def token_runs(column, path: str):
     stems = pc.if_else(pc.match_substring_regex(stems, _STEM_END), stems, dictionary)
     plain = pc.and_not(pc.string_is_ascii(stems), pc.match_substring(stems, "<|"))
     parts = pa.concat_arrays([pc.if_else(plain, pc.ascii_lower(stems), stems), _tails(dictionary, stems)]).dictionary_encode()
-    flat, size = _known_ids(parts.dictionary.to_pylist(), path)
+    flat, size = _known_ids(parts.dictionary.to_pylist(), path, cached)
     begin = np.cumsum(size) - size
     both = parts.indices.to_numpy(zero_copy_only=False).reshape(2, -1)
     order = both[:, index].T.ravel()  # stem, tail, stem, tail...
@@ -123,52 +123,51 @@ def _pieces(text: str, most: int):
     yield text[a:]
 
 
-def _cut(path: str, window: int, end_id: int, chunk: int = CHUNK):
-    """Rows doc_id, start, length, ids_crc32, doc_tokens, ids: the windows of each text and its rest, which keeps its ids."""
+def _whole(text: str, path: str, end_id: int, chunk: int, cached: int):
+    """Arrays of the ids of one text, part by part, and the end id."""
     import pyarrow as pa
-    import pyarrow.compute as pc
 
-    kinds = (*[pa.int64()] * 5, pa.binary())
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
+    for part in _pieces(text, chunk):
+        yield token_runs(pa.array([part]), path, cached)[0]
+    yield np.array([end_id], np.uint32)
+
+
+def _cut(path: str, window: int, end_id: int, chunk: int = CHUNK, cached: int = CACHED_WORDS):
+    """Rows doc_id, start, length, ids_crc32, doc_tokens, h: the windows of each text and its rest."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    def windows(name, arrays):
+    def windows(name, h, arrays):
         rows, rest, at = [], np.zeros(0, np.uint32), 0
         for ids in arrays:
             rest = np.concatenate([rest, ids]) if len(rest) else ids
             n = len(rest) // window
             for s in range(0, n * window, window):
-                rows.append((name, at + s, window, zlib.crc32(rest[s : s + window].astype("<u4").tobytes()), None))
+                rows.append((name, at + s, window, zlib.crc32(rest[s : s + window].astype("<u4").tobytes())))
             rest, at = rest[n * window :], at + n * window
         if len(rest):
-            body = rest.astype("<u4").tobytes()
-            rows.append((name, at, len(rest), zlib.crc32(body), body))
-        total = at + len(rest)
-        return [(*r[:4], total, r[4]) for r in rows]
-
-    def long(text):
-        for part in _pieces(text, chunk):
-            yield token_runs(pa.array([part]), path)[0]
-        yield np.array([end_id], np.uint32)
+            rows.append((name, at, len(rest), zlib.crc32(rest.astype("<u4").tobytes())))
+        return [(*r, at + len(rest), h) for r in rows]
 
     def run(batches):
         for b in batches:
-            ids, body = b.column("doc_id").to_pylist(), b.column("body").fill_null("")
+            ids, hashes, body = b.column("doc_id").to_pylist(), b.column("h").to_pylist(), b.column("body").fill_null("")
             width = np.cumsum(pc.binary_length(body).to_numpy(zero_copy_only=False))
             a = 0
             while a < len(body):
                 before = int(width[a - 1]) if a else 0
                 k = max(a + 1, int(np.searchsorted(width, before + chunk)))
                 if k == a + 1 and width[a] - before > 2 * chunk:
-                    rows = windows(ids[a], long(body[a].as_py()))
+                    rows = windows(ids[a], hashes[a], _whole(body[a].as_py(), path, end_id, chunk, cached))
                 else:
-                    flat, off = token_runs(body.slice(a, k - a), path)
-                    body_of = memoryview(np.insert(flat, off[1:], end_id).astype("<u4").tobytes())
+                    flat, off = token_runs(body.slice(a, k - a), path, cached)
+                    raw = memoryview(np.insert(flat, off[1:], end_id).astype("<u4").tobytes())
                     rows, ends = [], (off + np.arange(len(off))).tolist()
-                    for name, lo, hi in zip(ids[a:k], ends[:-1], ends[1:], strict=True):
+                    for name, h, lo, hi in zip(ids[a:k], hashes[a:k], ends[:-1], ends[1:], strict=True):
                         for s in range(lo, hi, window):
-                            part = body_of[4 * s : 4 * min(hi, s + window)]
-                            rows.append((name, s - lo, len(part) // 4, zlib.crc32(part), hi - lo, part if len(part) < 4 * window else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                            part = raw[4 * s : 4 * min(hi, s + window)]
+                            rows.append((name, s - lo, len(part) // 4, zlib.crc32(part), hi - lo, h))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "h"])
                 a = k
 
     return run
@@ -304,25 +303,29 @@ def plan_table(plan, loose) -> tuple[dict[int, np.ndarray], dict[int, tuple[int,
     return {k: np.array(v, np.int64) for k, v in rows.items()}, stream, sequence
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack_documents(spark: SparkSession, docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, cached: int = CACHED_WORDS, chunk: int = CHUNK) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone. A text of any length is cut every `window` ids, a long one tokenised in parts. Rows that repeat
-    are packed as often as they come; null ids stay null. Extra columns are not read. An empty table gives an empty result.
+    are packed as often as they come; null ids stay null. cached (words whose ids a worker remembers) and chunk (bytes
+    tokenised at once) steer memory only. Extra columns are not read. An empty table gives an empty result.
     """
     import pyarrow as pa
 
-    cut = _cut(path or tokenizer_path(), window, end_id)
+    path = path or tokenizer_path()
+    cut = _cut(path, window, end_id, chunk, cached)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("body")).mapInArrow(tidy(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("body"), F.xxhash64("text").alias("h"))
+    pieces = texts.mapInArrow(tidy(cut), ", ".join(f"{n} long" for n in [*names, "h"]))
     pieces = stage(spark, pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     counts = np.zeros(window + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # at most `window` rows
         counts[length] = n
-    table, stream, first = plan_table(*pack_plan(counts, window))
+    plan, loose = pack_plan(counts, window)
+    table, stream, first = plan_table(plan, loose)
     per_task = max(RANKS_PER_TASK, -(-int(counts.sum()) // MOST_RANKED))
     salts = F.array(*[F.lit(int(n)) for n in np.maximum(1, -(-counts // per_task))])
-    salted = pieces.drop("ids").withColumn("salt", F.pmod(F.xxhash64("piece"), F.get(salts, F.col("length").cast("int"))))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("piece"), F.get(salts, F.col("length").cast("int"))))
     sums = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # at most window + MOST_RANKED rows are sent
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("piece")) - 1).join(F.broadcast(sums.select("length", "salt", "base")), ["length", "salt"])
@@ -343,26 +346,31 @@ def pack_documents(spark: SparkSession, docs: DataFrame, path: str | None = None
                     rows = table[v]
                     k = np.searchsorted(rows[:, 0], rank[m], "right") - 1
                     sequence[m], offset[m] = rows[k, 1] + rank[m] - rows[k, 0], rows[k, 2]
-            yield pa.RecordBatch.from_arrays([b.column("piece"), *[b.column(n) for n in names], *[pa.array(c) for c in (sequence, offset, head)]], ["piece", *names, "sequence_id", "offset", "head"])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in [*names, "h"]], *[pa.array(c) for c in (sequence, offset, head)]], [*names, "h", "sequence_id", "offset", "head"])
 
     out = [*names, "sequence_id", "offset"]
-    placed = ranked.select("piece", *names, (F.col("rank") + F.col("base")).alias("rank")).mapInArrow(place, ", ".join(f"{n} long" for n in ["piece", *out, "head"]))
+    placed = ranked.select(*names, "h", (F.col("rank") + F.col("base")).alias("rank")).mapInArrow(place, ", ".join(f"{n} long" for n in [*names, "h", "sequence_id", "offset", "head"]))
     if not stream:
         return placed.select(*out)
 
     def split(batches):
+        """The texts of the rests that are cut again are tokenised once more, as only few are."""
         for b in batches:
-            rows = []
-            for doc, start, length, _, total, sequence, offset, head, ids in zip(*(b.column(n).to_pylist() for n in [*out, "head", "ids"]), strict=True):
-                rows.append((doc, start, head, zlib.crc32(ids[: 4 * head]), total, sequence, offset))
-                rows.append((doc, start + head, length - head, zlib.crc32(ids[4 * head :]), total, sequence + 1, 0))
-            if rows:
+            for k in range(len(b)):
+                doc, start, length, crc, total, sequence, offset, head, body = (b.column(c)[k].as_py() for c in [*out, "head", "body"])
+                ids = np.concatenate(list(_whole(body or "", path, end_id, chunk, cached)))[start : start + length].astype("<u4").tobytes()
+                if zlib.crc32(ids) != crc:
+                    raise RuntimeError(f"another text of document {doc}")
+                rows = (doc, start, head, zlib.crc32(ids[: 4 * head]), total, sequence, offset), (doc, start + head, length - head, zlib.crc32(ids[4 * head :]), total, sequence + 1, 0)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], out)
 
     placed = stage(spark, placed, "placed")
     parted = placed.where("head > 0")
-    few = sum(v * n for v, n in pack_plan(counts, window)[1]) // window <= BROADCAST_IDS  # each sequence cuts one piece at most
-    parted = pieces.select("piece", "ids").join(F.broadcast(parted) if few else parted, "piece").select(*out, "head", "ids")
+    few = sum(v * n for v, n in loose) // window <= BROADCAST_IDS  # each sequence cuts one piece at most
+    asked = parted.select(F.col("doc_id").alias("a_id"), F.col("h").alias("a_h")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("h") == F.col("a_h"))
+    texts = texts.join(F.broadcast(asked) if few else asked, same, "left_semi").dropDuplicates(["doc_id", "h"])
+    parted = parted.join(texts.toDF("a_id", "body", "a_h"), same).select(*out, "head", "body")
     return placed.where("head = 0").select(*out).unionAll(parted.mapInArrow(tidy(split), ", ".join(f"{n} long" for n in out)))
 
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, tidy, word_hashes
+from .common import apart, chunks, documents, named, tidy, word_hashes
 
 MOST_LABELLED = 20_000
 TREES, DEPTH, LEAST_LEAF, PENALTY = 24, 3, 8, 2e-4
@@ -204,17 +204,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import pyarrow as pa
 
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # one column, so that no name of docs meets one of the statistics
+    place, rows = docs.columns.index("text"), apart(docs)
 
     def run(batches):
         for b in batches:
-            for first, raw, off in chunks(b.column(1)):
+            for first, raw, off in chunks(b.column(place)):
                 x = text_stats(raw, off)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(x)), *[pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(STATS))]], ["doc", *STATS])
+                yield pa.RecordBatch.from_arrays([*b.slice(first, len(x)).columns, *[pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(STATS))]], [*b.schema.names, *STATS])
 
-    rows = docs.select(whole.alias("doc"), F.col("text").alias("body"))
-    wide = rows.mapInArrow(tidy(run), f"doc {rows.schema['doc'].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATS))
-    return wide.where(compile_rules(*model) >= 0.5).select("doc.*")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    wide = rows.mapInArrow(tidy(run), schema + ", " + ", ".join(f"{s} double" for s in STATS))
+    return named(wide.where(compile_rules(*model) >= 0.5), docs)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

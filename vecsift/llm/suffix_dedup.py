@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, CHUNK, chunks, documents, mix, skew_lookup, stage, tidy, tidy_cogroup, tidy_group
+from .common import BROADCAST_IDS, chunks, documents, mix, skew_lookup, stage, tidy, tidy_cogroup, tidy_group
 from .common import _powers as powers
 
 WIDTH, GRAM = 50, 16
@@ -46,7 +46,7 @@ class Tuning:
     unit: int = 12 << 20  # bytes of text whose phrases are sent once
     hot: int = 200_000  # phrases of one trigger, beyond which its strings are dealt one by one
     piece: int = 1 << 17  # bytes of whole triggers sorted at once
-    chunk: int = CHUNK  # bytes parsed at once
+    chunk: int = 2 << 20  # bytes parsed at once
     name_bits: int = 64  # of a phrase's name; fewer make names clash, which costs time only
 
 
