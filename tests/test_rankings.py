@@ -14,6 +14,7 @@ WITHOUT_PAIRS = [
     "f7_exclusions",
     "k15_twins",
     "m16_m17_incomplete_lists",
+    "k1_kreciprocal_top50",
 ]
 
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from . import guards
 from .graph import checkpointed
-from .pairs import _units, by_blocks, least_cosines, neighbours, ranked, score_pairs
+from .pairs import _units, by_blocks, least_cosines, neighbours, ranked
 
 
 def _orders(d: np.ndarray):
@@ -26,21 +26,16 @@ def _orders(d: np.ndarray):
 def _weights(o: np.ndarray, worst: np.ndarray, k1: int) -> np.ndarray:
     """What all k2 and lam of one k1 share."""
     half = int(np.round(k1 / 2))  # half to even
-    whole, small = worst <= k1, worst <= half
-    weights = np.zeros(o.shape)
-    for i in range(len(o)):
-        members = whole[i].copy()
-        for c in np.flatnonzero(whole[i]):
-            if 3 * (small[c] & whole[i]).sum() > 2 * small[c].sum():
-                members |= small[c]
-        w = np.where(members, np.exp(-o[i]), 0.0)
-        weights[i] = w / w.sum()
-    return weights
+    whole, small = (worst <= k1).astype(float), (worst <= half).astype(float)
+    grown = whole.astype(bool) & (3 * (whole @ small.T) > 2 * small.sum(1))  # counts, exact
+    members = (whole + grown.astype(float) @ small) > 0
+    w = np.where(members, np.exp(-o), 0.0)
+    return w / w.sum(1, keepdims=True)
 
 
 def _jaccard(weights: np.ndarray, order: np.ndarray, k2: int) -> np.ndarray:
     if k2 > 1:
-        weights = np.stack([weights[order[i, :k2]].mean(0) for i in range(len(weights))])
+        weights = weights[order[:, :k2]].mean(1)
     m = np.minimum(weights[0], weights).sum(1)
     return 1 - m / (2 - m)
 
@@ -55,6 +50,18 @@ def local_distances(d: np.ndarray, k1: int, k2: int, lam: float) -> np.ndarray:
     return _jaccard(_weights(o, worst, k1), order, k2) * (1 - lam) + o[0] * lam
 
 
+def _head(u: np.ndarray, s: np.ndarray, v: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, distances) of the query u with the scores s: its `top` nearest gallery rows, and node 0 and these to each other."""
+    from .rankings import descending
+
+    near = np.flatnonzero(~(s < np.partition(s, -top)[-top])) if top < len(s) else np.arange(len(s))  # with all ties of the last
+    near = near[descending(s[near])][:top]
+    nodes = np.concatenate([u[None], v[near]])
+    d = 1 - np.clip(nodes @ nodes.T, -1, 1)
+    np.fill_diagonal(d, 0.0)
+    return near, d
+
+
 def _nodes(queries: DataFrame, gallery: DataFrame, scores: DataFrame, top: int) -> DataFrame:
     """q, place, node, v: each query (place 0) and its `top` nearest."""
     nodes = ranked(scores, top).join(gallery.select(F.col("key").alias("g"), "v"), "g").select("q", F.col("rank").cast("long").alias("place"), F.col("g").alias("node"), "v")
@@ -126,13 +133,24 @@ def best_point(points: DataFrame) -> DataFrame:
 
 
 def rerank(queries: DataFrame, gallery: DataFrame, k1: int = 6, k2: int = 3, lam: float = 0.3, top: int = 50) -> DataFrame:
-    """(q, g, score): score = 1 - blended distance for the query's `top` nearest; the rest keep their cosine order below them."""
+    """(q, g, score): score = 1 - blended distance for the query's `top` nearest; the rest keep their cosine order below them. Rows leave
+    their task as they are made."""
+    from .rankings import by_queries, scored
+
     guards.positive("k1", k1), guards.positive("k2", k2), guards.share("lam", lam)
-    scores = score_pairs(queries, gallery)
-    local = _nodes(queries, gallery, scores, top).groupBy("q").applyInArrow(_by_query(lambda d: [((), local_distances(d, k1, k2, lam))], ()), "q long, g long, d double")
-    most = local.groupBy("q").agg(F.max("d").alias("most"))
-    out = scores.join(local, ["q", "g"], "left").join(most, "q")
-    return out.select("q", "g", (1 - F.coalesce("d", F.col("most") + 1 + (1 - F.col("score")))).alias("score"))
+
+    def solve(asked, mine):
+        import pyarrow as pa
+
+        keys, units = asked.column("key").to_numpy(), _units(asked.column("v"))
+        for i, s in scored(asked, mine):
+            near, d = _head(units[i], s, mine["v"], top)
+            new = local_distances(d, k1, k2, lam)[1:]
+            score = s - 1 - new.max()
+            score[near] = 1 - new
+            yield pa.table({"q": pa.array(np.full(len(s), keys[i])), "g": pa.array(mine["key"]), "score": pa.array(score)})
+
+    return by_queries(queries, gallery, ["v"], solve, "q long, g long, score double")
 
 
 def joint_rerank(queries: DataFrame, gallery: DataFrame, k1: int, k2: int, lam: float, top: int) -> DataFrame:
