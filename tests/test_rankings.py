@@ -54,3 +54,8 @@ def test_order_is_by_score_then_place_with_nan_first():
 
     assert list(rankings.descending(np.array([0.5, 0.9, np.nan, 0.5, 0.9]))) == [2, 1, 4, 0, 3]
     assert list(rankings.descending(np.array([0.1, 0.3, 0.2]))) == [1, 2, 0]
+
+
+def test_grid_without_pairs(spark, no_pairs):
+    points = registry.QUERIES["k8_parameter_grid"](spark, SF).collect()
+    assert len(points) == 270 and sum(r["best"] for r in points) == 1

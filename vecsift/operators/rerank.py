@@ -62,69 +62,44 @@ def _head(u: np.ndarray, s: np.ndarray, v: np.ndarray, top: int) -> tuple[np.nda
     return near, d
 
 
-def _nodes(queries: DataFrame, gallery: DataFrame, scores: DataFrame, top: int) -> DataFrame:
-    """q, place, node, v: each query (place 0) and its `top` nearest."""
-    nodes = ranked(scores, top).join(gallery.select(F.col("key").alias("g"), "v"), "g").select("q", F.col("rank").cast("long").alias("place"), F.col("g").alias("node"), "v")
-    return nodes.union(queries.select(F.col("key").alias("q"), F.lit(0).cast("long"), F.col("key"), "v"))
-
+def grid_metrics(queries: DataFrame, gallery: DataFrame, k1s, k2s, lams, top: int = 50) -> DataFrame:
+    """k1, k2, lam, map_step: mean AP of every grid point under the market rule. Only the re-ranked heads differ between points: the part
+    of a query's AP that lies behind its head is taken once, from the cosine ranking. One graph per query, orders shared by all
+    parameters and weights by those of one k1; a task gives a sum for each point."""
+    from .rankings import arrow_table, by_queries, descending, kept, scored
 
-def _by_query(solve, names: tuple[str, ...]):
-    """solve(distances of the nodes) -> [(parameters, new distances of node 0)] as rows q, g, *names, d."""
-    import pyarrow as pa
+    schema = "k1 long, k2 long, lam double, ap double, n long"
 
-    def one(table):
-        table = table.sort_by("place")
-        v = table.column("v").combine_chunks()
-        v = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
-        v = v / np.sqrt((v * v).sum(1, keepdims=True))
-        d = 1 - np.clip(v @ v.T, -1, 1)
-        np.fill_diagonal(d, 0.0)
-        parts = [pa.table({"q": table.column("q").slice(1), "g": table.column("node").slice(1), **{n: pa.array([x] * (len(d) - 1)) for n, x in zip(names, given, strict=True)}, "d": pa.array(new[1:])}) for given, new in solve(d)]
-        return pa.concat_tables(parts)
-
-    return one
-
-
-def rerank_grid(queries: DataFrame, gallery: DataFrame, scores: DataFrame, k1s, k2s, lams, top: int = 50) -> DataFrame:
-    """(q, g, k1, k2, lam, d) of each query's `top` nearest for all parameters with k2 <= k1: one graph per query, orders shared by all
-    parameters and weights by those of one k1."""
-
-    def solve(d):
-        o, order, worst = _orders(d)
-        for k1 in k1s:
-            weights = _weights(o, worst, k1)
-            for k2 in k2s:
-                if k2 <= k1:
+    def solve(asked, mine):
+        of, units, total, n = kept(asked, mine, "market"), _units(asked.column("v")), {}, 0
+        for i, s in scored(asked, mine):
+            ok, same = of(i)
+            places = descending(s)
+            eligible, right = ok[places], (ok & same)[places]
+            if not right.any():
+                continue
+            at = np.flatnonzero(right)
+            hit, rank = np.arange(1, len(at) + 1), np.cumsum(eligible)[at]
+            behind, n = (hit / rank)[at >= top].sum(), n + 1
+            near, d = _head(units[i], s, mine["v"], top)
+            counted = np.sort(near[ok[near]])  # by key
+            node = np.searchsorted(counted, near[ok[near]])
+            node = np.flatnonzero(ok[near])[np.argsort(node)] + 1
+            o, order, worst = _orders(d)
+            for k1 in k1s:
+                weights = _weights(o, worst, k1)
+                for k2 in (k for k in k2s if k <= k1):
                     j = _jaccard(weights, order, k2)
                     for lam in lams:
-                        yield (k1, k2, lam), j * (1 - lam) + o[0] * lam
-
-    return _nodes(queries, gallery, scores, top).groupBy("q").applyInArrow(_by_query(solve, ("k1", "k2", "lam")), "q long, g long, k1 long, k2 long, lam double, d double")
-
-
-def grid_metrics(queries: DataFrame, gallery: DataFrame, k1s, k2s, lams, top: int = 50) -> DataFrame:
-    """k1, k2, lam, map_step: mean AP of every grid point under the market rule. Only the re-ranked heads differ between points: the part
-    of a query's AP that lies behind its head is taken once, from the cosine ranking."""
-    from .evaluate import eligible
-    from .pairs import labelled_pairs
-
-    scores = score_pairs(queries, gallery)
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "g"))
-    pairs = labelled_pairs(queries, gallery, scores.withColumn("place", place))
-    right = F.col("q_id") == F.col("g_id")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("place"))
-    hit = F.row_number().over(Window.partitionBy("q").orderBy("rank"))
-    hits = eligible(pairs).withColumn("rank", rank).where(right).withColumn("hit", hit)
-    behind = hits.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("place") > top, F.col("hit") / F.col("rank"))), F.lit(0.0)).alias("behind"))
-    kept = eligible(pairs).where(F.col("place") <= top).select("q", "g", right.alias("right"))
-    heads = rerank_grid(queries, gallery, scores, k1s, k2s, lams, top).join(kept, ["q", "g"])
-    point = ["q", "k1", "k2", "lam"]
-    heads = heads.withColumn("rank", F.row_number().over(Window.partitionBy(*point).orderBy("d", "g"))).where("right")
-    heads = heads.withColumn("hit", F.row_number().over(Window.partitionBy(*point).orderBy("rank"))).groupBy(*point).agg(F.sum(F.col("hit") / F.col("rank")).alias("head"))
-    points = [(k1, k2, lam) for k1 in k1s for k2 in k2s if k2 <= k1 for lam in lams]
-    every = behind.select("q", "n", "behind", F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("k1"), F.lit(b).cast("long").alias("k2"), F.lit(c).alias("lam")) for a, b, c in points])).alias("p")).select("q", "n", "behind", "p.*")
-    ap = every.join(heads, point, "left").select("k1", "k2", "lam", ((F.coalesce("head", F.lit(0.0)) + F.col("behind")) / F.col("n")).alias("ap"))
-    return ap.groupBy("k1", "k2", "lam").agg(F.avg("ap").alias("map_step"))
+                        first = same[counted][np.argsort((j * (1 - lam) + o[0] * lam)[node], kind="stable")]
+                        r = np.flatnonzero(first) + 1
+                        head = (np.arange(1, len(r) + 1) / r).sum()
+                        total[k1, k2, lam] = total.get((k1, k2, lam), 0.0) + (head + behind) / len(at)
+        if n:
+            yield arrow_table(schema, zip(*((*p, ap, n) for p, ap in total.items()), strict=True))
+
+    sums = by_queries(queries, gallery, ["id", "cam", "v"], solve, schema)
+    return sums.groupBy("k1", "k2", "lam").agg((F.sum("ap") / F.sum("n")).alias("map_step"))
 
 
 def best_point(points: DataFrame) -> DataFrame:
