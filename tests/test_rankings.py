@@ -16,6 +16,7 @@ WITHOUT_PAIRS = [
     "m16_m17_incomplete_lists",
     "k1_kreciprocal_top50",
     "b8_perfect_control",
+    "m1_m4_ranking_market",
 ]
 
 
