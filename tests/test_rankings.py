@@ -17,6 +17,7 @@ WITHOUT_PAIRS = [
     "k1_kreciprocal_top50",
     "b8_perfect_control",
     "m1_m4_ranking_market",
+    "a13_poisoned_mean",
 ]
 
 
