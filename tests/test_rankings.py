@@ -18,6 +18,7 @@ WITHOUT_PAIRS = [
     "b8_perfect_control",
     "m1_m4_ranking_market",
     "a13_poisoned_mean",
+    "b3_add_one_p",
 ]
 
 
