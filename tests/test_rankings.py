@@ -19,6 +19,7 @@ WITHOUT_PAIRS = [
     "m1_m4_ranking_market",
     "a13_poisoned_mean",
     "b3_add_one_p",
+    "m18_map_all_queries",
 ]
 
 
