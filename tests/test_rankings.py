@@ -20,6 +20,7 @@ WITHOUT_PAIRS = [
     "a13_poisoned_mean",
     "b3_add_one_p",
     "m18_map_all_queries",
+    "m12_pr_curve",
 ]
 
 
