@@ -22,6 +22,7 @@ WITHOUT_PAIRS = [
     "m18_map_all_queries",
     "m12_pr_curve",
     "m12_curve_areas",
+    "t3_prior_weighted_sweep",
 ]
 
 
