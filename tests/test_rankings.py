@@ -23,6 +23,7 @@ WITHOUT_PAIRS = [
     "m12_pr_curve",
     "m12_curve_areas",
     "t3_prior_weighted_sweep",
+    "t5_target_tnr_threshold",
 ]
 
 
