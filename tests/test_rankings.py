@@ -24,6 +24,7 @@ WITHOUT_PAIRS = [
     "m12_curve_areas",
     "t3_prior_weighted_sweep",
     "t5_target_tnr_threshold",
+    "t7_prior_transfer",
 ]
 
 
