@@ -29,6 +29,7 @@ WITHOUT_PAIRS = [
     "b1_paired_bootstrap",
     "b8_random_control",
     "m1_m4_ranking_all_same_camera",
+    "m1_m4_ranking_none",
 ]
 
 
