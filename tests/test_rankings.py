@@ -30,6 +30,7 @@ WITHOUT_PAIRS = [
     "b8_random_control",
     "m1_m4_ranking_all_same_camera",
     "m1_m4_ranking_none",
+    "b4_stratified_bootstrap_of_sweep",
 ]
 
 
