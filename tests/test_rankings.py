@@ -31,6 +31,7 @@ WITHOUT_PAIRS = [
     "m1_m4_ranking_all_same_camera",
     "m1_m4_ranking_none",
     "b4_stratified_bootstrap_of_sweep",
+    "b7_mean_interval",
 ]
 
 
