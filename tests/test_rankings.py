@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_oracles import plain
 
 from vecsift import registry
-from vecsift.operators import evaluate, pairs, rankings, rerank
+from vecsift.operators import evaluate, pairs, rankings, rerank, stats
 
 WITHOUT_PAIRS = [
     "m1_m5_per_query",
@@ -84,3 +84,11 @@ def test_order_of_many_equal_scores(values):
 def test_grid_without_pairs(spark, no_pairs):
     points = registry.QUERIES["k8_parameter_grid"](spark, SF).collect()
     assert len(points) == 270 and sum(r["best"] for r in points) == 1
+
+
+def test_few_units_are_drawn_from_in_many_tasks(spark):
+    units = spark.createDataFrame([(k, k / 4) for k in range(4)], "unit long, s double").coalesce(1)
+    drawn = stats.with_draws(units, ["unit"], 250)
+    rows = drawn.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["unit"], r["draw"]) for r in rows) == [(k, n) for k in range(4) for n in range(1, 251)]
+    assert len({r["task"] for r in rows}) > 4

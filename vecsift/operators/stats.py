@@ -35,6 +35,13 @@ def poisson1_sql(u: str) -> str:
     return " + ".join(out)
 
 
+def with_draws(units: DataFrame, by: list[str], draws: int, run: int = 100) -> DataFrame:
+    """units with draw, 1 to draws, dealt to tasks by unit and run of draws: units are often so few that all would be drawn in one task."""
+    runs = units.select("*", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // run))).alias("run"))
+    runs = runs.repartition(2 * units.sparkSession.sparkContext.defaultParallelism, *by, "run")
+    return runs.select(*units.columns, F.explode(F.sequence(F.col("run") * run + 1, F.least(F.col("run") * run + run, F.lit(draws)))).alias("draw"))
+
+
 def sign_test(rows: DataFrame, value: str) -> DataFrame:
     """n_plus, n_minus, p_sign: the two-sided binomial p of at most min(n_plus, n_minus) signs of the rarer kind; zeros do not count."""
     n = rows.agg(F.count_if(F.col(value) > 0).alias("n_plus"), F.count_if(F.col(value) < 0).alias("n_minus"))
@@ -49,7 +56,7 @@ def bootstrap_mean(rows: DataFrame, value: str, key: str, draws: int = 4000, see
     """mean, lo, hi, p_two_sided of the mean of value, by the Poisson bootstrap; cluster resamples whole groups (ratio of sums)."""
     name = cluster or key
     sums = rows.groupBy(F.col(name).alias("unit")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    drawn = sums.select("unit", "s", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    drawn = with_draws(sums, ["unit"], draws)
     times = poisson1(uniform(F.lit(seed), F.col("draw"), F.col("unit")))
     each = drawn.withColumn("k", times).groupBy("draw").agg(F.try_divide(F.sum(F.col("k") * F.col("s")), F.sum(F.col("k") * F.col("n"))).alias("m"))
     a = (1 - level) / 2
