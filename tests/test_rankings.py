@@ -92,3 +92,10 @@ def test_few_units_are_drawn_from_in_many_tasks(spark):
     rows = drawn.withColumn("task", F.spark_partition_id()).collect()
     assert sorted((r["unit"], r["draw"]) for r in rows) == [(k, n) for k in range(4) for n in range(1, 251)]
     assert len({r["task"] for r in rows}) > 4
+
+
+def test_multiplicities_are_those_of_each_unit(spark, duck):
+    rows = spark.createDataFrame([(n % 2 == 0, n % 3) for n in range(12)], "known boolean, id long")
+    found = stats.multiplicities(rows, ["known", "id"], 130, 7)
+    sql = f"WITH x AS (SELECT known, id, draw, {stats.uniform_sql('7', 'known', 'draw', 'id')} AS u FROM (VALUES (TRUE), (FALSE)) a(known), range(3) b(id), range(1, 131) c(draw)) SELECT known, id, draw, {stats.poisson1_sql('u')} AS k FROM x WHERE ({stats.poisson1_sql('u')}) > 0"
+    assert sorted(map(tuple, found.select("known", "id", "draw", "k").collect())) == sorted(duck.execute(sql).fetchall())

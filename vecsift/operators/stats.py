@@ -42,6 +42,13 @@ def with_draws(units: DataFrame, by: list[str], draws: int, run: int = 100) -> D
     return runs.select(*units.columns, F.explode(F.sequence(F.col("run") * run + 1, F.least(F.col("run") * run + run, F.lit(draws)))).alias("draw"))
 
 
+def multiplicities(rows: DataFrame, by: list[str], draws: int, seed: int) -> DataFrame:
+    """by, draw, k: how many times each draw takes the rows of each distinct `by`, of a key of seed, the first of `by`, draw and the rest; k > 0."""
+    drawn = with_draws(rows.select(*by).distinct(), by, draws)
+    u = uniform(F.lit(seed), F.col(by[0]), F.col("draw"), *map(F.col, by[1:]))
+    return drawn.withColumn("k", poisson1(u)).where("k > 0")
+
+
 def sign_test(rows: DataFrame, value: str) -> DataFrame:
     """n_plus, n_minus, p_sign: the two-sided binomial p of at most min(n_plus, n_minus) signs of the rarer kind; zeros do not count."""
     n = rows.agg(F.count_if(F.col(value) > 0).alias("n_plus"), F.count_if(F.col(value) < 0).alias("n_minus"))
